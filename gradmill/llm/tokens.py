@@ -19,7 +19,10 @@ import regex
 
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-_ODD = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u0250-\u200f\u2028-\u202f\u205f-\U0010ffff]|<\|endoftext\|>|  | [\n\t]")
+_ODD = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u0250-\u200f\u2028-\u202f\u205f-\U0010ffff]")
+_WHOLE = ("  ", " \n", " \t", "<|endoftext|>")
+#: Bytes that only characters up to U+024F have: printable ASCII, \t, \n, what follows a lead byte, and the lead bytes from U+00C0 on.
+_USUAL = bytes([9, 10, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
 #: The pre-tokenizer's rule of byte-level vocabularies of this kind (fixed values).
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _encoders: dict[str, "Encoder"] = {}
@@ -68,20 +71,17 @@ class _Chunks(_Pieces):
         self.tokenizer, self.pieces = tokenizer, _Pieces(tokenizer, most // 2)
 
     def make(self, word: str) -> bytes:
-        if word.isalpha() and max(word) < "\u0250":
+        if word.isalpha():
             return super().make(" " + word)
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + word)))
-
-    def __missing__(self, word: str) -> bytes:
-        if word[-1:] in (".", ",") and word[:-1].isalpha() and max(word) < "\u0250":
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
             return self[word[:-1]] + self.pieces[word[-1]]
-        return super().__missing__(word)
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + word)))
 
 
 class Encoder:
     """most: distinct chunks of a generation, a memory bound only."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,11 +91,18 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    @staticmethod
+    def odd(text: str) -> bool:
+        """Whether text has one of the characters that need the library as a whole;
+        most texts are cleared by deleting the bytes that cannot be part of one."""
+        left = text.encode().translate(None, _USUAL)
+        return bool(left) and _ODD.search(text) is not None
+
     def encode(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _ODD.search(text):
+        if any(w in text for w in _WHOLE) or not (text.isascii() and text.isprintable()) and self.odd(text):
             return self.whole(text)
         first, *rest = text.split(" ")
         head = b"".join(map(self.chunks.pieces.__getitem__, _PIECE.findall(first)))
