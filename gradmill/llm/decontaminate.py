@@ -56,24 +56,37 @@ def _doubled(hashes: str, n: int) -> tuple[list[tuple[str, str]], str]:
     return steps, name
 
 
-def _hash_of(gram: Column, n: int) -> Column:
-    """The hash that _doubled gives to a window, from its words."""
-    h = F.transform(F.split(gram, " "), lambda w: F.xxhash64(w))
-    steps, name = _doubled("h", n)
-    expr = {"h": h}
-    out = h
-    for k, (nxt, _) in enumerate(steps):
-        pass
-    return out if not steps else expr["h"]
-
-
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = 200_000) -> DataFrame:
+def _positions(name: str, hashes: list[int], n: int) -> Column:
+    """(at, n) of the elements of the array that are in the set, from 1."""
+    if not hashes:
+        return F.array().cast("array<struct<at:int,n:int>>")
+    among = ",".join(f"{h}L" if h >= 0 else f"({h}L)" for h in hashes)
+    return F.expr(f"filter(transform({name}, (x, i) -> if(x IN ({among}), named_struct('at', i + 1, 'n', {n}), null)), y -> y is not null)")
+
+
+def _joined_positions(rows: DataFrame, names: dict[int, str], keyed: dict[int, DataFrame]) -> DataFrame:
+    """As _positions, by joins of hashes; row numbers repeat as the scan does."""
+    found = None
+    for n, name in names.items():
+        one = rows.select("row", F.posexplode(name).alias("at", "hash")).join(keyed[n], "hash").select("row", F.struct((F.col("at") + 1).alias("at"), F.lit(n).alias("n")).alias("hit"))
+        found = one if found is None else found.unionByName(one)
+    hits = found.groupBy("row").agg(F.collect_list("hit").alias("hits"))
+    return rows.join(hits, "row", "left")
+
+
+def _cover(acc: Column, hit: Column) -> Column:
+    """Adds the words that a hit covers beyond the hits before it."""
+    end = hit["at"] + hit["n"]
+    return F.struct((acc["total"] + F.greatest(end - F.greatest(hit["at"], acc["upto"]), F.lit(0))).alias("total"), F.greatest(acc["upto"], end).alias("upto"))
+
+
+def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = 20_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every
     document; docs may carry further columns, which are ignored. A null text has no
     words. Rows of equal doc_id are each scanned. An empty benchmark hits nothing.
 
     The hashes of the windows are put into the plan as one set where there are at
-    most `most` of them (3 MB); a larger benchmark is joined as a table of
+    most `most` of them; a larger benchmark is joined as a table of
     hashes to the exploded windows, which Spark shuffles if it is too large to
     broadcast."""
     spark = docs.sparkSession
