@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradmill.llm import decontaminate, packing, quality_classifier, quality_rules, secret_scan, simhash, token_store
+from gradmill.llm import decontaminate, packing, quality_classifier, quality_rules, secret_scan, simhash, token_store, toxicity
 from gradmill.llm.common import scratch
 
 
@@ -29,6 +29,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +50,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_best_fit_packing, op7_decontamination, op8_simhash, op9_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_best_fit_packing, op5_toxicity, op7_decontamination, op8_simhash, op9_quality_rules, op10_quality_classifier)}
 
 
 _OP7 = r"""
