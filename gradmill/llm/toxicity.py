@@ -13,6 +13,7 @@ word, a document as its worst sentence.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from gradmill.llm.common import ship, slices, text_bytes, whole_text
 from gradmill.llm.textarrays import Texts
 
-ORDER, DECAY = 3, 0.6
+ORDER, DECAY = 4, 0.7
 #: Bytes of a word that the kernel sees at once; longer words are seen in overlapping parts.
 PART = 24
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -81,7 +82,7 @@ def padded(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(w.ljust(wide, b"\0") for w in words), np.uint8).reshape(len(words), wide)
 
 
-def likeness(s: np.ndarray, landmarks: list[bytes], block: int = 512) -> np.ndarray:
+def likeness(s: np.ndarray, landmarks: list[bytes], block: int = 256) -> np.ndarray:
     """Normalised kernel of rows of s to the landmarks; rows under ORDER bytes get 0.
     Rows are taken by length, so that short ones cost little."""
     t = padded(landmarks)
@@ -99,11 +100,11 @@ def likeness(s: np.ndarray, landmarks: list[bytes], block: int = 512) -> np.ndar
 
 
 class Machine:
-    """weight: of each landmark's likeness (the Nyström map is folded in); slope and
-    offset turn the worst word's value into a probability."""
+    """weight: of each landmark's likeness (the Nyström map is folded in); blend:
+    of what a document's words show (see evidence)."""
 
-    def __init__(self, landmarks: list[bytes], weight: np.ndarray, bias: float, slope: float, offset: float):
-        self.landmarks, self.weight, self.bias, self.slope, self.offset = landmarks, weight, bias, slope, offset
+    def __init__(self, landmarks: list[bytes], weight: np.ndarray, bias: float, blend: np.ndarray):
+        self.landmarks, self.weight, self.bias, self.blend = landmarks, weight, bias, blend
         self.known_key, self.known_value = np.zeros(0, np.uint64), np.zeros(0, np.float32)
 
     def words(self, s: np.ndarray) -> np.ndarray:
@@ -111,12 +112,12 @@ class Machine:
             return np.full(len(s), self.bias, np.float32)
         return likeness(s, self.landmarks) @ self.weight + self.bias
 
-    def probability(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -60, 60)))
+    def probability(self, shown: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(shown @ self.blend, -60, 60)))
 
     def documents(self, data: np.ndarray, at: np.ndarray, most: int = 4_000_000) -> np.ndarray:
-        """The worst word's value of each document; the bias where there is none.
-        Values are kept by a hash of the word, of at most `most` words."""
+        """What the words of each document show. Values of words are kept by their
+        hash, of at most `most` words."""
         t = Texts(_LOWER[data], at)
         starts, ends, docs = parts(t)
         keys = t.hashes(starts, ends)
@@ -139,9 +140,17 @@ class Machine:
             new = np.concatenate((self.known_key, distinct[fresh]))
             order = np.argsort(new, kind="stable")
             self.known_key, self.known_value = new[order], np.concatenate((self.known_value, value[fresh]))[order]
-        worst = np.full(t.docs, self.bias, np.float32)
-        np.maximum.at(worst, docs, value[back])
-        return worst
+        return evidence(value[back], docs, t.docs)
+
+
+def evidence(value: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
+    """Rows of (1, the worst value, log of the words beyond the margin, log of
+    their share), of documents by their words' values; no words: as if all were
+    far on the clean side."""
+    worst = np.full(n, -1.5)
+    np.maximum.at(worst, docs, np.clip(value, -1.5, 1.5))
+    beyond, words = np.bincount(docs, value > 0.5, n), np.bincount(docs, minlength=n)
+    return np.stack([np.ones(n), worst, np.log1p(beyond), np.log(beyond / np.maximum(words, 1) + 1e-3)], axis=1)
 
 
 def parts(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,83 +186,97 @@ def word_set(text: str) -> list[bytes]:
     t = Texts(_LOWER[raw], np.array([0, len(raw)]))
     starts, ends, _ = parts(t)
     data = t.data.tobytes()
-    return sorted({data[a:b] for a, b in zip(starts.tolist(), ends.tolist()) if b - a >= ORDER})
+    return sorted({data[a:b] for a, b in zip(starts.tolist(), ends.tolist()) if b - a > 1})
 
 
-def choose_landmarks(toxic: list[list[bytes]], clean: list[list[bytes]], most: int) -> list[bytes]:
-    """Beginnings of words (4 to 9 bytes) that cover most toxic documents not yet
-    covered and hardly any clean one, then as many frequent words of clean documents
-    as there is room for, a quarter at most."""
+def choose_landmarks(toxic: list[list[bytes]], clean: list[list[bytes]], most: int, cover: int = 3) -> tuple[list[bytes], list[bytes]]:
+    """Beginnings of words (4 to 9 bytes) that are in many toxic documents which do
+    not have `cover` landmarks yet, and far less often in clean ones; then frequent
+    words of clean documents, a quarter of all at most."""
     stems = lambda words: {w[:k] for w in words for k in range(4, 10) if len(w) >= k}
-    in_clean: dict[bytes, int] = {}
-    for words in clean:
-        for s in stems(words):
-            in_clean[s] = in_clean.get(s, 0) + 1
-    limit = len(clean) // 1000
     where: dict[bytes, set[int]] = {}
     for i, words in enumerate(toxic):
         for s in stems(words):
-            if in_clean.get(s, 0) <= limit:
-                where.setdefault(s, set()).add(i)
-    found, covered = [], set()
-    live = {s: d for s, d in where.items() if len(d) >= 2}
-    while live and len(found) < most - most // 4:
-        best = max(live, key=lambda s: (len(live[s]), len(s), s))
-        if len(live[best]) < 2:
-            break
-        found.append(best)
-        covered |= live[best]
-        live = {s: rest for s, d in live.items() if len(rest := d - covered) >= 2}
-    counts: dict[bytes, int] = {}
+            where.setdefault(s, set()).add(i)
+    where = {s: d for s, d in where.items() if len(d) >= 3}
+    in_clean, counts = dict.fromkeys(where, 0), {}
     for words in clean:
+        for s in stems(words):
+            if s in in_clean:
+                in_clean[s] += 1
         for w in words:
             counts[w] = counts.get(w, 0) + 1
-    found += sorted((w for w in counts if len(w) >= 4), key=lambda w: (-counts[w], w))[: most // 4]
-    return list(dict.fromkeys(found))
-
-
-def train(texts: list[str], y: np.ndarray, landmarks: int = 24, rounds: int = 3, negatives: int = 60_000, seed: int = 5) -> Machine:
-    """Without both labels among the rows every document gets the labels' share."""
-    seen = dict(zip(texts, y.tolist()))  # copies count once
-    toxic = [[word_set(s) for s in sentences(t)] for t, v in seen.items() if v]
-    clean = [word_set(t) for t, v in seen.items() if not v]
+    price = 4 * len(toxic) / max(len(clean), 1)
+    where = {s: d for s, d in where.items() if len(d) > price * in_clean[s]}
+    found: list[bytes] = []
+    times = np.zeros(len(toxic), int)
+    while where and len(found) < most - most // 4:
+        gain = {s: sum(times[i] < cover for i in d) - price * in_clean[s] for s, d in where.items()}
+        best = max(gain, key=lambda s: (gain[s], len(s), s))
+        if gain[best] < 2:
+            break
+        found.append(best)
+        times[list(where[best])] += 1
+        where = {s: d for s, d in where.items() if gain[s] >= 2 and not s.startswith(best[:5]) and not best.startswith(s)}
+    return found, [w for w in sorted((w for w in counts if len(w) >= 4), key=lambda w: (-counts[w], w)) if not any(w.startswith(f[:4]) for f in found)][: most // 4]
+
+
+def train(texts: list[str], y: np.ndarray, landmarks: int = 32, rounds: int = 3, negatives: int = 15_000, seed: int = 5) -> Machine:
+    """Without both labels among the rows every document gets the labels' share.
+    Copies, also near ones (equal in the words with the smallest hashes), count
+    once."""
+    seen: dict = {}
+    for text, v in zip(texts, y.tolist()):
+        found = word_set(text)
+        seen.setdefault((v, tuple(sorted(map(zlib.crc32, found))[:3])), (text, found, v))
+    toxic, clean = ([x for x in seen.values() if bool(x[2]) == side] for side in (True, False))
     share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
     if not toxic or not clean:
-        return Machine([], np.zeros(0, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-    marks = choose_landmarks([sorted({w for s in d for w in s}) for d in toxic], clean, landmarks)
+        return Machine([], np.zeros(0, np.float32), -1.0, np.array([np.log(share / (1 - share)), 0, 0, 0]))
+    bags = [[word_set(s) for s in sentences(text)] for text, _, _ in toxic]
+    aims, rest = choose_landmarks([w for _, w, _ in toxic], [w for _, w, _ in clean], landmarks)
+    marks = aims + rest
     gram = likeness(padded(marks), marks).astype(float)
     value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(len(marks)))
     half = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T  # the Nyström map
-    words = sorted({w for d in toxic for s in d for w in s} | {w for d in clean for w in d})
-    place = {w: i for i, w in enumerate(words)}
-    phi = likeness(padded(words), marks) @ half
     rng = np.random.default_rng(seed)
-    no = np.array(sorted({place[w] for d in clean for w in d}))
-    no = no if len(no) <= negatives else np.sort(rng.choice(no, negatives, replace=False))
-    bags = [np.array(sorted({place[w] for s in d for w in s})) for d in toxic]
-    bags = [b for b in bags if len(b)]
-    often = np.bincount(no, minlength=len(words)) > 0
-    # to begin with, the worst word is the one most like a landmark that clean words are unlike
+    often: dict[bytes, int] = {}
+    for _, found, _ in clean:
+        for v in found:
+            often[v] = often.get(v, 0) + 1
+    no = sorted(often, key=lambda v: (-often[v], v))  # the frequent ones, and a sample of the rest
+    if len(no) > negatives:
+        no = no[: negatives // 2] + [no[i] for i in np.sort(rng.choice(np.arange(negatives // 2, len(no)), negatives - negatives // 2, replace=False))]
+    words = sorted({w for d in bags for s in d for w in s} | set(no))
+    place = {w: i for i, w in enumerate(words)}
     like = likeness(padded(words), marks)
-    far = np.quantile(like[no], 0.999, axis=0) if len(no) else np.zeros(len(marks))
-    decision = (like - far).max(axis=1)
-    decision[often] -= 1
+    phi = like @ half
+    usual = np.array([often.get(v, 0) > max(1, len(clean) // 500) for v in words])  # never what makes a sentence toxic
+    no_at = np.array([place[w] for w in no])
+    rows = [[np.array([place[w] for w in s]) for s in d if s] for d in bags]
+    rows = [d for d in rows if d]
+    decision = like[:, : len(aims)].max(axis=1) - usual if aims else -1.0 * usual  # to begin with: the word most like a landmark of the toxic side
+    begins = np.array([any(v.startswith(m) for m in aims) for v in words]) & ~usual
+    yes = np.unique(np.concatenate([np.zeros(0, int), *(s[begins[s]] for d in rows for s in d)]))
     w, b = np.zeros(len(marks)), 0.0
     for _ in range(rounds):
-        yes = np.unique([bag[decision[bag].argmax()] for bag in bags])
-        yes = yes[~often[yes]] if (~often[yes]).any() else yes
-        x = np.concatenate((phi[yes], phi[no]))
-        target = np.concatenate((np.ones(len(yes)), -np.ones(len(no))))
-        weight = np.concatenate((np.full(len(yes), 0.5 / len(yes)), np.full(len(no), 0.5 / max(len(no), 1))))
+        worst = [max(d, key=lambda s: decision[s].max()) for d in rows]  # the sentence that is taken as toxic
+        yes = np.unique(np.concatenate([yes, *(s[[decision[s].argmax()]] for s in worst)]))
+        x = np.concatenate((phi[yes], phi[no_at]))
+        target = np.concatenate((np.ones(len(yes)), -np.ones(len(no_at))))
+        often_no = np.sqrt([often[v] for v in no])
+        weight = np.concatenate((np.full(len(yes), 0.2 / len(yes)), 0.8 * often_no / max(often_no.sum(), 1)))
         w, b = hinge(x, target, weight)
-        decision = phi @ w + b
-    machine = Machine(marks, (half @ w).astype(np.float32), float(b), 1.0, 0.0)
-    worst = np.array([max((decision[place[v]] for v in words_), default=b) for words_ in [[v for s in d for v in s] for d in toxic] + clean])
-    machine.slope, machine.offset = platt(worst, np.array([1] * len(toxic) + [0] * len(clean)))
+        decision = phi @ w + b - 100 * usual
+    machine = Machine(marks, (half @ w).astype(np.float32), float(b), np.zeros(4))
+    both = [x[0].encode() for x in [*toxic, *clean]]
+    at = np.concatenate(([0], np.cumsum([len(x) for x in both])))
+    shown = machine.documents(np.frombuffer(b"".join(both), np.uint8), at)
+    machine.blend = logistic(shown, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
     return machine
 
 
-def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 1500) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by accelerated gradient descent."""
     x1 = np.concatenate((x, np.ones((len(x), 1))), axis=1)
     rate = 1 / (2 * np.linalg.eigvalsh((x1 * weight[:, None]).T @ x1)[-1] + ridge)
@@ -267,19 +290,19 @@ def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4,
     return w[:-1], float(w[-1])
 
 
-def platt(value: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """Newton's method on the logistic loss of slope * value + offset."""
-    x = np.stack([value, np.ones(len(value))], axis=1)
-    up, down = (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2)
-    target, a = np.where(y == 1, up, down), np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Newton's method on the logistic loss with a small ridge; no weight but that of
+    the constant is negative."""
+    a = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ a, -60, 60)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        a = a + np.linalg.solve(h, x.T @ (target - p) - 1e-3 * a)
-    return float(a[0]), float(a[1])
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
+        a = a + np.clip(np.linalg.solve(h, x.T @ (y - p) - 0.1 * a), -2, 2)
+        a[1:] = np.maximum(a[1:], 0)  # more evidence is never less toxic
+    return a
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 2_500, longest: int = 20_000) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 2_000, longest: int = 20_000) -> Machine:
     """A machine from at most `sample` rows of each label (the first by a hash of
     doc_id, none of over `longest` characters) among labels (doc_id, toxic)."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
@@ -312,7 +335,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return docs.mapInArrow(run, f"{fields}, `{name}` double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 2_500, longest: int = 20_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = 2_000, longest: int = 20_000) -> DataFrame:
     """doc_id, held_out, score and predicted of every document. Labels of held-out
     rows are never learnt; a null doc_id is not held out, rows of equal doc_id are
     each scored."""
