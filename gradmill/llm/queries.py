@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradmill.llm import decontaminate, packing, quality_classifier, quality_rules, secret_scan, simhash, token_store, toxicity
+from gradmill.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, token_store, toxicity
 from gradmill.llm.common import scratch
 
 
@@ -33,6 +34,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "text")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +56,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_best_fit_packing, op5_toxicity, op7_decontamination, op8_simhash, op9_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_best_fit_packing, op5_toxicity, op6_line_dedup, op7_decontamination, op8_simhash, op9_quality_rules, op10_quality_classifier)}
 
 
 _OP7 = r"""
