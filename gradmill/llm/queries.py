@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradmill.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, token_store, toxicity
+from gradmill.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, token_store, toxicity
 from gradmill.llm.common import scratch
 
 
@@ -30,6 +30,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -56,7 +60,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_best_fit_packing, op5_toxicity, op6_line_dedup, op7_decontamination, op8_simhash, op9_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_best_fit_packing, op4_suffix_dedup, op5_toxicity, op6_line_dedup, op7_decontamination, op8_simhash, op9_quality_rules, op10_quality_classifier)}
 
 
 _OP7 = r"""
