@@ -15,6 +15,8 @@ from gradmill.llm.common import materialise, whole_text
 
 WINDOW = 10
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BREAK_ANY = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,23 +82,16 @@ def _cover(acc: Column, hit: Column) -> Column:
     return F.struct((acc["total"] + F.greatest(end - F.greatest(hit["at"], acc["upto"]), F.lit(0))).alias("total"), F.greatest(acc["upto"], end).alias("upto"))
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = 20_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every
-    document; docs may carry further columns, which are ignored. A null text has no
-    words. Rows of equal doc_id are each scanned. An empty benchmark hits nothing.
-
-    The hashes of the windows are put into the plan as one set where there are at
-    most `most` of them; a larger benchmark is joined as a table of
-    hashes to the exploded windows, which Spark shuffles if it is too large to
-    broadcast."""
-    spark = docs.sparkSession
+def _located(text: DataFrame, items: DataFrame, window: int, most: int) -> tuple[DataFrame, DataFrame, bool]:
+    """text (with a text column) with w, its words, and hits, where hashes of windows
+    of the items are in it; the windows; whether there are at most `most`."""
     grams = materialise(benchmark_windows(items, window), "windows")
     sizes = sorted(r["n"] for r in grams.select("n").distinct().collect())  # at most `window` numbers
-    text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), whole_text().alias("text"))
-    rows = text.select("row", "doc_id", words(F.col("text")).alias("w"))
-    rows = rows.select("row", "doc_id", F.col("w"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    fields = text.columns
+    rows = text.withColumn("w", words(whole_text()))
+    rows = rows.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     names = {}
-    made = {"row", "doc_id", "w", "h"}
+    made = {"w", "h"}
     for n in sizes:
         steps, names[n] = _doubled("h", n)
         for name, expr in steps:
@@ -117,6 +112,20 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = 20
         rows = rows.withColumn("hits", F.concat(starts, *spans))
     else:
         rows = _joined_positions(rows, names, keyed)
+    return rows.select(*fields, "w", "hits"), grams, total <= most
+
+
+def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = 20_000) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every
+    document; docs may carry further columns, which are ignored. A null text has no
+    words. Rows of equal doc_id are each scanned. An empty benchmark hits nothing.
+
+    The hashes of the windows are put into the plan as one set where there are at
+    most `most` of them; a larger benchmark is joined as a table of
+    hashes to the exploded windows, which Spark shuffles if it is too large to
+    broadcast."""
+    text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    rows, grams, few = _located(text, items, window, most)
     # verify: the words at each hit have to be a window
     candidates = rows.select(
         "row",
@@ -124,7 +133,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = 20
         F.size("w").cast("long").alias("n_words"),
         F.explode_outer(F.transform("hits", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), F.array_join(F.slice("w", x["at"], x["n"]), " ").alias("gram")))).alias("hit"),
     ).select("row", "doc_id", "n_words", "hit.*")
-    hint = F.broadcast if grams.count() <= most else (lambda df: df)
+    hint = F.broadcast if few else (lambda df: df)
     verified = candidates.join(hint(grams), ["n", "gram"], "left")
     per_item = verified.groupBy("row", "doc_id", "n_words").agg(
         F.collect_set("item_id").alias("items"),
@@ -139,3 +148,34 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = 20
         F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+def remove_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = 20_000) -> DataFrame:
+    """All columns of docs, the text without the words that lie in windows of the
+    items, from each word's beginning to its end; n_chars, where there is one, counts
+    what is left. Texts without a hit stay as they are. Nulls stay null.
+
+    The windows to verify against are put into the plan with at most `most` of them,
+    else joined as in scan(), by a row number."""
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("text").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows, grams, few = _located(own, items, window, most)
+    if few:
+        known = [r["gram"] for r in grams.select("gram").distinct().collect()]  # `most` at most
+        real = F.filter("hits", lambda x: F.array_join(F.slice("w", x["at"], x["n"]), " ").isin(known)) if known else F.filter("hits", lambda x: F.lit(False))
+        rows = rows.withColumn("hits", real)
+    else:
+        one = rows.select("row", F.explode(F.transform("hits", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), F.array_join(F.slice("w", x["at"], x["n"]), " ").alias("gram")))).alias("x")).select("row", "x.*")
+        real = one.join(grams.select("n", "gram").distinct(), ["n", "gram"]).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("real"))
+        rows = rows.join(real, "row", "left").withColumn("hits", F.coalesce("real", F.array().cast("array<struct<at:int,n:int>>"))).drop("real")
+    hit = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
+    # words and what stands between them, in turn: text = gaps[0] w[0] gaps[1] w[1] ...
+    gaps = F.split("text", _WORD)
+    original = F.array_remove(F.split("text", _BREAK_ANY), "")
+    left = F.transform(original, lambda w, i: F.concat(F.when(F.array_contains("marked", i + 1), "").otherwise(w), F.element_at("gaps", i + 2)))
+    cut = F.concat(F.element_at("gaps", 1), F.array_join(left, ""))
+    changed = rows.withColumn("marked", hit).withColumn("gaps", gaps)
+    out = changed.withColumn("text", F.when(F.size("hits") > 0, cut).otherwise(F.col("text")))
+    put = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        put["n_chars"] = F.when(F.size("hits") > 0, F.length("text").cast("long")).otherwise(F.col("own.n_chars"))
+    return out.select(*(put.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))

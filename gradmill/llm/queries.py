@@ -59,8 +59,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_best_fit_packing, op4_suffix_dedup, op5_toxicity, op6_line_dedup, op7_decontamination, op8_simhash, op9_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_best_fit_packing, op4_suffix_dedup, op5_toxicity, op6_line_dedup, op7_decontamination, op8_simhash, op9_quality_rules, op10_quality_classifier, pipeline)}
 
 
 _OP7 = r"""

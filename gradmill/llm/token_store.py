@@ -35,7 +35,8 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("shard", p
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     """Encodes every whole text and writes the store. Null texts are empty; every
     document ends with id 0, so an empty one has that id alone. Rows with a null
-    doc_id stand first; rows of equal doc_id stand by their text. Other columns
+    doc_id stand first; rows of equal doc_id stand by a hash of
+    their text. Other columns
     are ignored, an empty table gives an empty store.
 
     One shuffle sorts the texts by range, so no key can make a partition large."""
@@ -52,7 +53,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(np.full(len(n), shard, np.int32)), pa.array(start + ends[:-1]), ids], schema=_ROWS)
             start += int(ends[-1])
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # what is sampled for the ranges goes to the driver: no texts
     (
         docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
         .repartitionByRange(*order)
