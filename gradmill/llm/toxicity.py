@@ -291,15 +291,22 @@ def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4,
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Newton's method on the logistic loss with a small ridge; no weight but that of
-    the constant is negative."""
-    a = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ a, -60, 60)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
-        a = a + np.clip(np.linalg.solve(h, x.T @ (y - p) - 0.1 * a), -2, 2)
-        a[1:] = np.maximum(a[1:], 0)  # more evidence is never less toxic
-    return a
+    """Newton's method on the logistic loss with a small ridge. Columns but the first
+    (the constant) that would count against get no weight: the worst one is left out
+    until there is none, so more evidence is never less toxic."""
+    used = list(range(x.shape[1]))
+    while True:
+        z, a = x[:, used], np.zeros(len(used))
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(z @ a, -60, 60)))
+            h = (z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(len(used))
+            a = a + np.clip(np.linalg.solve(h, z.T @ (y - p) - 0.1 * a), -2, 2)
+        if len(used) == 1 or a[1:].min() >= 0:
+            break
+        used.pop(1 + int(a[1:].argmin()))
+    out = np.zeros(x.shape[1])
+    out[used] = a
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 2_000, longest: int = 20_000) -> Machine:

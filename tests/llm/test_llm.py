@@ -422,3 +422,12 @@ def test_pipeline(spark, awkward, tmp_path):
             assert tuple(stage(spark, table, DIR).columns) == corpus_pipeline.COLUMNS
     assert corpus_pipeline.drop_near_duplicates(spark, awkward, DIR).filter("text = 'same text'").count() == 1
     assert corpus_pipeline.drop_contaminated(spark, awkward, DIR).count() == len(ROWS)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.classify(docs, labels).join(labels, "doc_id").toPandas()
+    held = got[got["held_out"]]
+    assert (held["predicted"] == held["toxic"]).mean() >= 0.93
+    assert held[held["toxic"] == 0]["predicted"].mean() <= 0.05
