@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -194,11 +195,13 @@ def choose_landmarks(toxic: list[list[bytes]], clean: list[list[bytes]], most: i
     not have `cover` landmarks yet, and far less often in clean ones; then frequent
     words of clean documents, a quarter of all at most."""
     stems = lambda words: {w[:k] for w in words for k in range(4, 10) if len(w) >= k}
-    where: dict[bytes, set[int]] = {}
+    seen = Counter(s for words in toxic for s in stems(words))
+    where: dict[bytes, set[int]] = {s: set() for s, n in seen.items() if n >= 3}
+    del seen
     for i, words in enumerate(toxic):
         for s in stems(words):
-            where.setdefault(s, set()).add(i)
-    where = {s: d for s, d in where.items() if len(d) >= 3}
+            if s in where:
+                where[s].add(i)
     in_clean, counts = dict.fromkeys(where, 0), {}
     for words in clean:
         for s in stems(words):
@@ -238,7 +241,7 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 32, rounds: int = 3,
     marks = aims + rest
     gram = likeness(padded(marks), marks).astype(float)
     value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(len(marks)))
-    half = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T  # the Nyström map
+    half = (vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T).astype(np.float32)  # the Nyström map
     rng = np.random.default_rng(seed)
     often: dict[bytes, int] = {}
     for _, found, _ in clean:
@@ -269,9 +272,11 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 32, rounds: int = 3,
         w, b = hinge(x, target, weight)
         decision = phi @ w + b - 100 * usual
     machine = Machine(marks, (half @ w).astype(np.float32), float(b), np.zeros(4))
-    both = [x[0].encode() for x in [*toxic, *clean]]
-    at = np.concatenate(([0], np.cumsum([len(x) for x in both])))
-    shown = machine.documents(np.frombuffer(b"".join(both), np.uint8), at)
+    both, shown = [x[0].encode() for x in [*toxic, *clean]], []
+    for i in range(0, len(both), 100):
+        some = both[i : i + 100]
+        shown.append(machine.documents(np.frombuffer(b"".join(some), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in some])))))
+    shown = np.concatenate(shown)
     machine.blend = logistic(shown, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
     return machine
 
@@ -309,15 +314,16 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 2_000, longest: int = 20_000) -> Machine:
-    """A machine from at most `sample` rows of each label (the first by a hash of
-    doc_id, none of over `longest` characters) among labels (doc_id, toxic)."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 1_200, longest: int = 10_000) -> Machine:
+    """A machine from at most `sample` toxic rows and three times as many others (the
+    first by a hash of doc_id, none of over `longest` characters) among labels
+    (doc_id, toxic)."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).filter(F.length("text") <= longest)
     drawn = []
     for side in (1, 0):
-        picked = known.filter(F.col("label") == side).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
-        drawn.append(texts.join(F.broadcast(picked), "doc_id").toPandas())  # `sample` rows at most
+        picked = known.filter(F.col("label") == side).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample if side else 3 * sample)
+        drawn.append(texts.join(F.broadcast(picked), "doc_id").toPandas())  # so many rows at most
     rows = pd.concat(drawn).sort_values(["doc_id", "text"])
     return train(rows["text"].tolist(), rows["label"].to_numpy(float))
 
@@ -342,7 +348,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return docs.mapInArrow(run, f"{fields}, `{name}` double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 2_000, longest: int = 20_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = 1_200, longest: int = 10_000) -> DataFrame:
     """doc_id, held_out, score and predicted of every document. Labels of held-out
     rows are never learnt; a null doc_id is not held out, rows of equal doc_id are
     each scored."""

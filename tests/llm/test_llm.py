@@ -425,9 +425,10 @@ def test_pipeline(spark, awkward, tmp_path):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    d = "/root/testdata/sf0.01"
+    """At sf0.1: sf0.01 has six held-out toxic rows, too few to measure."""
+    d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    got = toxicity.classify(docs, labels).join(labels, "doc_id").toPandas()
+    got = toxicity.classify(docs.join(labels.select("doc_id"), "doc_id"), labels).join(labels, "doc_id").toPandas()
     held = got[got["held_out"]]
-    assert (held["predicted"] == held["toxic"]).mean() >= 0.93
-    assert held[held["toxic"] == 0]["predicted"].mean() <= 0.05
+    assert (held["predicted"] == held["toxic"]).mean() >= 0.95
+    assert held[held["toxic"] == 0]["predicted"].mean() <= 0.02
