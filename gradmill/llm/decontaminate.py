@@ -169,11 +169,11 @@ def remove_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: i
         rows = rows.join(real, "row", "left").withColumn("hits", F.coalesce("real", F.array().cast("array<struct<at:int,n:int>>"))).drop("real")
     hit = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
     # words and what stands between them, in turn: text = gaps[0] w[0] gaps[1] w[1] ...
-    gaps = F.split("text", _WORD)
+    gaps = F.when(F.size("hits") > 0, F.split("text", _WORD))  # only texts to cut are taken apart
     original = F.array_remove(F.split("text", _BREAK_ANY), "")
     left = F.transform(original, lambda w, i: F.concat(F.when(F.array_contains("marked", i + 1), "").otherwise(w), F.element_at("gaps", i + 2)))
     cut = F.concat(F.element_at("gaps", 1), F.array_join(left, ""))
-    changed = rows.withColumn("marked", hit).withColumn("gaps", gaps)
+    changed = rows.withColumn("marked", F.when(F.size("hits") > 0, hit)).withColumn("gaps", gaps)
     out = changed.withColumn("text", F.when(F.size("hits") > 0, cut).otherwise(F.col("text")))
     put = {"text": F.col("text")}
     if "n_chars" in docs.columns:
