@@ -216,7 +216,7 @@ def choose_landmarks(toxic: list[list[bytes]], clean: list[list[bytes]], most: i
     while where and len(found) < most - most // 4:
         gain = {s: sum(times[i] < cover for i in d) - price * in_clean[s] for s, d in where.items()}
         best = max(gain, key=lambda s: (gain[s], len(s), s))
-        if gain[best] < 2:
+        if gain[best] < max(3, len(toxic) // 100):  # beyond this, chance finds beginnings as good
             break
         found.append(best)
         times[list(where[best])] += 1
