@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradmill.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, queries, secret_scan, simhash, suffix_dedup, token_store, tokens, toxicity
+from gradmill.llm import decontaminate, line_dedup, near_copies, packing, quality_classifier, quality_rules, queries, secret_scan, simhash, suffix_dedup, token_store, tokens, toxicity
 
 DIR = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 997}" for i in range(30_000))
@@ -424,6 +424,48 @@ def test_pipeline(spark, awkward, tmp_path):
     assert corpus_pipeline.drop_contaminated(spark, awkward, DIR).count() == len(ROWS)
 
 
+def near_texts():
+    """Originals, and copies with words changed at one to four places: similarities
+    from 0.8 to 0.95, and some below."""
+    rng, rows = random.Random(11), []
+    for k in range(60):
+        words = [f"v{rng.randrange(3000)}" for _ in range(240)]
+        rows.append((10 * k, " ".join(words)))
+        for c in range(1, 4):
+            copy = list(words)
+            for at in rng.sample(range(240), rng.choice([2, 3, 4, 5, 6, 9])):
+                copy[at] = "edited"
+            rows.append((10 * k + c, " ".join(copy)))
+    rng.shuffle(rows)
+    return rows
+
+
+def shingle_components(rows, least):
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    root = list(range(len(rows)))
+    near = []
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both / (len(sets[i]) + len(sets[j]) - both) >= least:
+                near.append((i, j))
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root, near
+
+
+def test_pipeline_drops_near_copies(spark):
+    rows = near_texts()
+    root, near = shingle_components(rows, 0.8)
+    assert len(near) > 60 and len(set(root)) > 60  # copies on both sides of the threshold
+    least = collections.defaultdict(list)
+    for (d, _), r in zip(rows, root):
+        least[r].append(d)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect()
+    assert sorted(r["doc_id"] for r in left) == sorted(map(min, least.values()))
+
+
 def test_toxicity_on_held_out_rows(spark):
     """At sf0.1: sf0.01 has six held-out toxic rows, too few to measure."""
     d = "/root/testdata/sf0.1"
