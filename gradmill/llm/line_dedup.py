@@ -1,8 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Every line is hashed; a line that another document has links a document to the
-first one that has it, so a group of any size gives one pair for each member and
-shared line, never all its pairs. The two documents' line hashes are aligned with
+Every line is hashed, and every shortest run of consecutive lines with enough words
+(from each line on, and up to each line). A line or run that another document has
+links a document to the first one that has it, so a group of any size gives one pair
+for each member and shared line or run, never all its pairs; a common block consists
+of such runs, so a first document of each of its parts is met, also where its lines
+come first in different documents. The two documents' line hashes are aligned with
 patience diff (lines that are unique in both anchor the alignment), and aligned
 common blocks of enough words are deleted from the later document. The first
 document with a block always keeps it.
@@ -12,11 +15,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradmill.llm.common import materialise, whole_text
+from gradmill.llm.common import materialise, ship
 
 BLOCK_WORDS = 50
 
@@ -94,54 +100,75 @@ def common_lines(first: list[int], later: list[int], words: list[int], least: in
     return out
 
 
+def links(lines: np.ndarray, words: np.ndarray, least: int) -> list[int]:
+    """Hashes of the lines with words, and of the shortest runs of two or more lines
+    with at least `least` words that begin, or end, at each of those."""
+    wordy = np.flatnonzero(words)
+    before = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))  # words before each line
+    out = set(lines[wordy].tolist())
+    if before[-1] >= least:
+        to = np.searchsorted(before, before[wordy] + least)
+        since = np.searchsorted(before, before[wordy + 1] - least, "right") - 1
+        runs = set(zip(wordy[to < len(before)].tolist(), to[to < len(before)].tolist()))
+        runs |= set(zip(since[since >= 0].tolist(), (wordy[since >= 0] + 1).tolist()))
+        raw = np.ascontiguousarray(lines, "<i8").tobytes()
+        digests = [xxhash.xxh64_intdigest(raw[8 * i : 8 * j]) for i, j in runs if j - i > 1]
+        out |= set(np.array(digests, np.uint64).view(np.int64).tolist())
+    return list(out)
+
+
 def dedup(docs: DataFrame, least_words: int = BLOCK_WORDS) -> DataFrame:
     """All columns of docs, with the text less the deleted lines, n_lines and
     n_removed. Lines are what \\n separates; lines without words match but are not
     looked up. A null text stays null and has no lines; an empty one has one line.
-    Rows with a null doc_id are left as they are. Rows of equal doc_id count as one
-    document's, by the first of their texts: they link only to other doc_ids.
-    Columns named n_lines or n_removed are replaced.
-
-    Shuffles: line hashes twice (24 bytes a line), line lists of the documents that
-    share lines, and the texts once, to meet the lines to delete. A frequent line's
-    first document meets many later ones in one join; that side is one row a key,
-    so that Spark can split a partition of the other side."""
+    Rows with a null doc_id are left as they are. A document is a doc_id with the hash
+    of a text: different texts of one doc_id are different documents, in the order of
+    their hashes, and rows that repeat both are one. Columns named n_lines or
+    n_removed are replaced.
+
+    Shuffles: hashes of lines and runs twice (24 bytes each), line lists of the
+    documents that share some, and the texts once, to meet the lines to delete. A
+    frequent line's first document meets many later ones in one join; that side is
+    one row a key, so that Spark can split a partition of the other side."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    rows = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    words = F.size(F.filter(F.split("line", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    lines = materialise(rows.select("doc_id", "at", F.xxhash64("line").alias("h"), words.alias("words")), "lines")
-    firsts = lines.filter("words > 0").groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "first")
-    pairs = materialise(
-        lines.filter("words > 0").join(firsts, "h").filter("first < doc_id").select("doc_id", "first").distinct(),
-        "pairs",
-    )
-    members = pairs.select("doc_id").union(pairs.select(F.col("first"))).distinct()
-    own = F.array_sort(F.collect_set(F.struct("at", "h", "words")))  # the lines of one document
-    lists = lines.join(members, "doc_id", "left_semi").groupBy("doc_id").agg(own.alias("own"))
-    lists = materialise(lists.select("doc_id", F.col("own.h").alias("h"), F.col("own.at").alias("at"), F.col("own.words").alias("words")), "lists")
-    met = pairs.join(lists, "doc_id").join(lists.select(F.col("doc_id").alias("first"), F.col("h").alias("first_h")), "first")
+    ship(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("part"), F.split("text", "\n", -1).alias("lines")).filter("doc_id is not null and lines is not null")
+    words = F.transform("lines", lambda x: F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    rows = texts.select("doc_id", "part", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), words.alias("words"))
+
+    def link(batches):
+        for batch in batches:
+            h, w = batch.column(2), batch.column(3)
+            found = [links(a.values.to_numpy(), b.values.to_numpy(), least_words) for a, b in zip(h, w)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "part", "h", "words", "links"])
+
+    rows = materialise(rows.mapInArrow(link, "doc_id long, part long, h array<long>, words array<int>, links array<long>"), "lines")
+    keys = rows.select(F.struct("doc_id", "part").alias("own"), F.explode("links").alias("key"))
+    firsts = keys.groupBy("key").agg(F.min("own").alias("first"), F.max("own").alias("last")).filter("first < last").select("key", "first")
+    pairs = keys.join(firsts, "key").filter("first < own").select("own.*", F.col("first.doc_id").alias("first_id"), F.col("first.part").alias("first_part"))
+    pairs = materialise(pairs.distinct(), "pairs")
+    members = pairs.select("doc_id", "part").union(pairs.select("first_id", "first_part")).distinct()
+    lists = rows.select("doc_id", "part", "h", "words").join(members, ["doc_id", "part"], "left_semi")
+    lists = materialise(lists.dropDuplicates(["doc_id", "part"]), "lists")
+    met = pairs.join(lists, ["doc_id", "part"]).join(lists.select(F.col("doc_id").alias("first_id"), F.col("part").alias("first_part"), F.col("h").alias("first_h")), ["first_id", "first_part"])
 
     def align(parts):
         for pdf in parts:
-            found = [
-                [int(at[j]) for j in common_lines(first.tolist(), h.tolist(), words.tolist(), least_words)]
-                for first, h, at, words in zip(pdf["first_h"], pdf["h"], pdf["at"], pdf["words"])
-            ]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "gone": found})
+            found = [common_lines(first.tolist(), h.tolist(), words.tolist(), least_words) for first, h, words in zip(pdf["first_h"], pdf["h"], pdf["words"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "part": pdf["part"], "gone": found})
 
     gone = (
-        met.select("doc_id", "first_h", "h", "at", "words")
-        .mapInPandas(align, "doc_id long, gone array<int>")
+        met.select("doc_id", "part", "first_h", "h", "words")
+        .mapInPandas(align, "doc_id long, part long, gone array<int>")
         .filter("size(gone) > 0")
-        .groupBy("doc_id")
+        .groupBy("doc_id", "part")
         .agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     )
     name = "gone"
     while name in docs.columns:
         name += "_"
-    gone = gone.select(F.col("doc_id").alias(name + "_id"), F.col("gone").alias(name))
-    out = docs.join(gone, docs["doc_id"].cast("long") == gone[name + "_id"], "left")
+    gone = gone.select(F.col("doc_id").alias(name + "_id"), F.col("part").alias(name + "_part"), F.col("gone").alias(name))
+    out = docs.join(gone, (docs["doc_id"].cast("long") == gone[name + "_id"]) & (F.xxhash64(docs["text"]) == gone[name + "_part"]), "left")
     parts = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(name, i)), "\n")
     return out.withColumns(
@@ -150,4 +177,4 @@ def dedup(docs: DataFrame, least_words: int = BLOCK_WORDS) -> DataFrame:
             "n_removed": F.coalesce(F.size(name), F.lit(0)).cast("long"),
             "text": F.when(F.col(name).isNull(), F.col("text")).when(F.size(name) == F.size(parts), "").otherwise(kept),
         }
-    ).drop(name, name + "_id")
+    ).drop(name, name + "_id", name + "_part")

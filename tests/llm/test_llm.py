@@ -276,6 +276,16 @@ def test_line_dedup(spark, awkward, small):
     assert line_dedup.dedup(small.limit(0)).count() == 0
 
 
+def test_line_dedup_of_lines_from_different_documents(spark):
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    x, y, long, tail = line("x", 30), line("y", 30), line("l", 60), line("t", 10)
+    rows = [(1, x), (2, "own\n" + y), (3, "b\n" + x + "\n\n" + y), (4, x + "\n\n" + y + "\nc"), (5, x + "\n" + y), (10, tail), (11, long), (12, long + "\n" + tail + "\nd"), (13, "e\n" + long + "\n" + tail)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df).collect()}
+    # 5 has another line between; the tail of 12 stays in 12, as its common block with 10 is short
+    assert got == dict(rows) | {4: "c", 12: tail + "\nd", 13: "e"}
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
