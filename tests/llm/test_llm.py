@@ -286,6 +286,15 @@ def test_line_dedup_of_lines_from_different_documents(spark):
     assert got == dict(rows) | {4: "c", 12: tail + "\nd", 13: "e"}
 
 
+def test_line_dedup_of_texts_under_one_doc_id(spark):
+    block = "\n".join(" ".join(f"p{i}x{k}" for k in range(20)) for i in range(3))
+    other = "\n".join(f"quite another line {k}" for k in range(6))
+    rows = [(1, block), (2, block + "\nlast"), (2, other), (2, other), (3, "a\n" + block), (3, "b\n" + block)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup(df).collect())
+    assert got == sorted([(1, block), (2, "last"), (2, other), (2, other), (3, "a"), (3, "b")])
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
