@@ -27,7 +27,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Names that make a value sensitive (fixed values).
 SENSITIVE = ("access", "auth", "bearer", "cert", "client_id", "connection", "cookie", "credential", "encryption", "hmac", "key", "login", "oauth", "passphrase", "password", "passwd", "pin", "private", "pwd", "secret", "session", "signature", "signing", "ssh", "token", "webhook")
-_CONTEXT = re.compile(r"""(?:%s)[A-Za-z0-9_]{0,24}["']?\x20{0,8}(?:[:=]|\x20)\x20{0,8}["']?([A-Za-z0-9+/_.=~!@#$%%^&*-]{8,})""" % "|".join(SENSITIVE), re.I | re.A)
+_CONTEXT = re.compile(r"""((?:%s)[A-Za-z0-9_]{0,24})["']?\x20{0,8}([:=]|\x20)\x20{0,8}["']?([A-Za-z0-9+/_.=~!@#$%%^&*-]{8,})""" % "|".join(SENSITIVE), re.I | re.A)
 #: Identifiers and words of code and configuration (fixed values).
 IDENTIFIERS = (
     "access account action address api application args array async auth authorization backend base64 bearer binary boolean bucket buffer build cache callback "
@@ -69,20 +69,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _prose(value: str) -> bool:
+    """Whether a value after a blank can be a word or a number of running text:
+    letters and digits are not both in it, and its case is not mixed."""
+    kinds = any(c.isdigit() for c in value) + any(c.isalpha() for c in value)
+    tail = value[1:]
+    return kinds < 2 and (tail == tail.lower() or value == value.upper())
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], threshold: float) -> list[tuple[int, int, int]]:
-    """Values in sensitive context that no base span touches, with digits among
-    their characters and a novelty of at least threshold."""
+    """Values in sensitive context that no base span touches, with a novelty of at
+    least threshold. Other occurrences of a value do not explain it, and behind a
+    name whose value is none the search goes on: the value may be a name itself."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
-    found = []
-    for m in _CONTEXT.finditer(text):
-        start, end = m.span(1)
-        value = m[1]
-        if any(s < end and start < e for s, _, e in base) or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+    found, at = [], 0
+    while m := _CONTEXT.search(text, at):
+        start, end = m.span(3)
+        value, wide = m[3], AROUND + len(m[3])
+        at = m.end(1)
+        if any(s < end and start < e for s, _, e in base) or (m[2] == " " and _prose(value)):
             continue
-        if novelty(value, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= threshold:
+        before = text[max(0, start - wide) : start].replace(value, " " * len(value))[-AROUND:]
+        after = text[end : end + wide].replace(value, " " * len(value))[:AROUND]
+        if novelty(value, before, after) >= threshold:
             found.append((start, 3, end))
+            at = end
     return found
 
 

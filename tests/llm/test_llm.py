@@ -170,6 +170,17 @@ def test_secret_scan(spark, awkward, small, texts):
     assert secret_scan.scan(awkward).count() == len(ROWS)
 
 
+def test_novel_secrets_of_all_kinds():
+    def novel(text):
+        return [text[s:e] for s, _, e in secret_scan.novel_spans(text, secret_scan.base_spans(text), 0.85)]
+
+    assert novel("signing key: QzXvKwJpRtYbNmLs end") == ["QzXvKwJpRtYbNmLs"]
+    assert novel("access credential: Zx81kQp0vB7tWm2LrY9d") == ["Zx81kQp0vB7tWm2LrY9d"]
+    assert novel("private passphrase = Zx81kQp0vB7tWm2LrY9d") == ["Zx81kQp0vB7tWm2LrY9d"]
+    assert novel("credential: Zx81kQp0vB7tWm2LrY9d and Zx81kQp0vB7tWm2LrY9d") == ["Zx81kQp0vB7tWm2LrY9d"]
+    assert novel("the credential: configuration then") == []
+
+
 def covered(texts, length, earlier_only):
     where = collections.defaultdict(list)
     for k, b in enumerate(texts):
