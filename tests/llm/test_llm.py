@@ -496,6 +496,14 @@ def test_pipeline_drops_near_copies(spark):
     assert sorted(r["doc_id"] for r in left) == sorted(map(min, least.values()))
 
 
+def test_pipeline_keeps_other_texts_of_a_doc_id(spark):
+    own = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    rows = [(1, own[0]), (2, own[0]), (2, own[1]), (2, own[1]), (2, own[2]), (None, own[0])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect()
+    assert {(r["doc_id"], r["text"]) for r in left} == {(1, own[0]), (2, own[1]), (2, own[2]), (None, own[0])} and len(left) == 4
+
+
 def test_toxicity_on_held_out_rows(spark):
     """At sf0.1: sf0.01 has six held-out toxic rows, too few to measure."""
     d = "/root/testdata/sf0.1"
