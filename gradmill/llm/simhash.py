@@ -55,39 +55,46 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of words of 64 bits."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
 class BKTree:
-    """A BK-tree over distinct unsigned fingerprints as arrays: the children of a
-    node are consecutive and sorted by their distance to it. Built and searched
-    one level at a time for all fingerprints at once."""
+    """A BK-tree over unsigned fingerprints of 64 bits, or rows of several such words,
+    as arrays: the children of a node are consecutive and sorted by their distance to
+    it (equal ones are a child at 0). Built and searched one level at a time for all fingerprints at
+    once."""
 
     def __init__(self, fps: np.ndarray):
-        n = len(fps)
+        self.fps = fps.reshape(len(fps), -1)
+        n, self.span = len(fps), 64 * self.fps.shape[1] + 1
         parent, edge = np.full(n, -1), np.zeros(n, np.int64)
         at, here = np.arange(1, n), np.zeros(max(n - 1, 0), np.int64)  # who still sinks, and the node where they are
         while len(at):
-            d = np.bitwise_count(fps[at] ^ fps[here]).astype(np.int64)
-            _, first, group = np.unique(here * 65 + d, return_index=True, return_inverse=True)
+            d = distances(self.fps[at], self.fps[here])
+            _, first, group = np.unique(here * self.span + d, return_index=True, return_inverse=True)
             child = at[first]
             parent[child], edge[child] = here[first], d[first]
             sinks = np.ones(len(at), bool)
             sinks[first] = False
             at, here = at[sinks], child[group][sinks]
         order = np.lexsort((edge, parent))
-        self.fps, self.node = fps, order
-        self.key = parent[order] * 65 + edge[order]
+        self.node = order
+        self.key = parent[order] * self.span + edge[order]
 
     def within(self, radius: int, block: int = 4096):
         """Yields arrays (a, b), a < b, of the pairs of positions within radius."""
-        n = len(self.fps)
-        for low in range(0, n, block):
-            query = np.arange(low, min(low + block, n))
+        n, step = len(self.fps), max(block // self.fps.shape[1], 1)
+        for low in range(0, n, step):
+            query = np.arange(low, min(low + step, n))
             node = np.zeros(len(query), np.int64)
             while len(query):
-                d = np.bitwise_count(self.fps[query] ^ self.fps[node]).astype(np.int64)
+                d = distances(self.fps[query], self.fps[node])
                 hit = (d <= radius) & (query < node)
                 yield query[hit], node[hit]
-                first = np.searchsorted(self.key, node * 65 + np.maximum(d - radius, 1))
-                last = np.searchsorted(self.key, node * 65 + np.minimum(d + radius, 64), "right")
+                first = np.searchsorted(self.key, node * self.span + np.maximum(d - radius, 0))
+                last = np.searchsorted(self.key, node * self.span + np.minimum(d + radius, self.span - 1), "right")
                 count = last - first
                 query = np.repeat(query, count)
                 start = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count)

@@ -496,6 +496,33 @@ def test_pipeline_drops_near_copies(spark):
     assert sorted(r["doc_id"] for r in left) == sorted(map(min, least.values()))
 
 
+@pytest.mark.parametrize("most", [4096, 60])
+def test_near_copies_of_one_large_group(spark, most):
+    """Copies of one text with up to 40 edits: many pairs share buckets, few are links."""
+    rng, base = random.Random(5), [f"v{k}" for k in range(150)]
+    rows = []
+    for k in range(250):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 4, 8, 12, 20, 40])):
+            words[at] = f"e{rng.randrange(9)}"
+        rows.append((k, " ".join(words)))
+    root, near = shingle_components(rows, 0.8)
+    assert len(near) > 200 and len(set(root)) > 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["first"]: r["root"] for r in near_copies.text_components(docs, most=most).collect()}
+    assert len({(got[d], root[k]) for k, (d, _) in enumerate(rows)}) == len(set(root)) == len(set(got.values()))
+
+
+def test_bk_tree_of_wide_fingerprints():
+    rng = np.random.default_rng(2)
+    centre = rng.integers(0, 1 << 64, (1, 4), np.uint64)
+    flips = np.packbits(rng.random((90, 256)) < rng.choice([0.0, 0.05, 0.1, 0.3], (90, 1)), axis=1).view(np.uint64)
+    fps = centre ^ flips
+    got = sorted((int(a), int(b)) for x, y in simhash.BKTree(fps).within(40) for a, b in zip(np.minimum(x, y), np.maximum(x, y)))
+    want = [(i, j) for i in range(90) for j in range(i + 1, 90) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= 40]
+    assert got == want and 10 < len(want) < 4005
+
+
 def test_pipeline_keeps_other_texts_of_a_doc_id(spark):
     own = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
     rows = [(1, own[0]), (2, own[0]), (2, own[1]), (2, own[1]), (2, own[2]), (None, own[0])]
