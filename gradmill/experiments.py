@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 from typing import Any, Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradmill.operators.frames import with_previous
+
 #: Unit costs in dollars (fixed values): an hour of a 128 MB function, an hour of a machine, a GB month.
 FUNCTION_HOUR, STORAGE_MONTH = 0.007488, 0.023
 MACHINE_HOUR = {"m5.large": 0.096}
@@ -27,10 +28,10 @@ def grid(spark: SparkSession, axes: dict[str, list[Any]], machines: int = 1) ->
 
 
 def changed_only(log: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
-    """Rows whose values differ from those of the row before."""
-    w = Window.partitionBy(key).orderBy(*order)
-    same = reduce(lambda a, b: a & b, [F.col(v).eqNullSafe(F.lag(v).over(w)) for v in values])
-    return log.withColumn("_same", same & (F.row_number().over(w) > 1)).filter(~F.col("_same")).drop("_same")
+    """Rows whose values differ from those of the row before of their key, and its first
+    one. A key's log may span many tasks."""
+    rows = with_previous(log, key, order, values, "_previous")
+    return rows.filter(F.col("_previous").isNull() | ~F.col("_previous").eqNullSafe(F.struct(*values))).drop("_previous")
 
 
 def last_values(log: DataFrame, key: str, order: list[str], value: str, name: str = "last_loss") -> DataFrame:
@@ -45,6 +46,20 @@ def top(last: DataFrame, n: int, key: str, value: str = "last_loss") -> DataFram
     return last.orderBy(F.col(value).asc() if n > 0 else F.col(value).desc(), key).limit(abs(n))
 
 
+def traces(log: DataFrame, n: int, key: str, order: list[str], value: str = "loss") -> DataFrame:
+    """The whole logs of the n experiments with the least last value (the -n with the
+    largest for n < 0, all for 0), with rank from 1."""
+    best = top(last_values(log, key, order, value, "_last"), n, key, "_last").collect()  # at most n rows, or a row for each experiment
+    ranked = sorted(best, key=lambda r: (r["_last"] if n >= 0 else -r["_last"], r[key]))
+    known = log.sparkSession.createDataFrame([(r[key], i + 1) for i, r in enumerate(ranked)], f"{key} {dict(log.dtypes)[key]}, rank int")
+    return log.join(known, key)
+
+
+def rounded(df: DataFrame, t: str = "t", loss: str = "loss") -> DataFrame:
+    """Metrics as they are shown: times to 3 places, losses to 4."""
+    return df.withColumns({t: F.round(t, 3), loss: F.round(loss, 4)})
+
+
 def cost_per_second(memory_mb: Column, workers: Column, machines: Column, storage_mb: Column, kind: str = "m5.large") -> Column:
     functions = memory_mb / 128.0 * FUNCTION_HOUR * workers / 3600
     return functions + machines * MACHINE_HOUR[kind] / 3600 + storage_mb / 1024.0 * (STORAGE_MONTH / (30 * 24)) / 3600

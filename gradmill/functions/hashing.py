@@ -2,17 +2,21 @@
 
 The 32-bit one (seed 42) is a column expression. Spark's own hash() differs from it
 for texts whose byte length is no multiple of four. The low half of the 128-bit one
-(seed 100) needs 64-bit products and is an Arrow function over Python integers.
+(seed 100) needs 64-bit products that wrap, which SQL arithmetic lacks: it is an Arrow
+function over numpy arrays, the texts of one byte length at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gradmill.runtime import ship
+
 _M32 = (1 << 32) - 1
 _M64 = (1 << 64) - 1
 
@@ -88,12 +92,87 @@ def murmur3_x64_low(data: bytes, seed: int = 100) -> int:
     return (last(h1) + last(h2)) & _M64
 
 
+def _left64(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def _last64(k: np.ndarray) -> np.ndarray:
+    for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        k = (k ^ (k >> np.uint64(33))) * np.uint64(c)
+    return k ^ (k >> np.uint64(33))
+
+
+def _x64_rows(rows: np.ndarray, seed: int) -> np.ndarray:
+    """murmur3_x64_low of each row of bytes."""
+    c1, c2 = np.uint64(0x87C37B91114253D5), np.uint64(0x4CF5AD432745937F)
+    n, size = rows.shape
+    whole, rest = size // 16 * 16, size % 16
+    h1 = h2 = np.full(n, seed, np.uint64)
+    words = np.zeros((n, whole + 16), np.uint8)
+    words[:, :size] = rows
+    words = words.view("<u8")
+    mix1 = lambda k: _left64(k * c1, 31) * c2
+    mix2 = lambda k: _left64(k * c2, 33) * c1
+    for at in range(0, whole // 8, 2):
+        h1 = (_left64(h1 ^ mix1(words[:, at]), 27) + h2) * np.uint64(5) + np.uint64(0x52DCE729)
+        h2 = (_left64(h2 ^ mix2(words[:, at + 1]), 31) + h1) * np.uint64(5) + np.uint64(0x38495AB5)
+    if rest > 8:
+        h2 = h2 ^ mix2(words[:, -1])
+    if rest:
+        h1 = h1 ^ mix1(words[:, -2])
+    h1, h2 = h1 ^ np.uint64(size), h2 ^ np.uint64(size)
+    h1 = h1 + h2
+    return _last64(h1) + _last64(h2 + h1)
+
+
+def x64_low_array(texts: pa.Array, seed: int = 100) -> np.ndarray:
+    """murmur3_x64_low of each text of a string array without nulls."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    sizes, out = np.diff(ends), np.zeros(len(texts), np.uint64)
+    order = np.argsort(sizes, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+        if len(mine):
+            out[mine] = _x64_rows(data[ends[mine][:, None] + np.arange(sizes[mine[0]])], seed)
+    return out
+
+
 def bucket_x64(text: Column, bits: int) -> Column:
-    """murmur3_x64_low modulo 2 ** bits of each text."""
+    """murmur3_x64_low modulo 2 ** bits of each text; null for null."""
+    ship()
 
-    @F.pandas_udf("long")
-    def run(values: pd.Series) -> pd.Series:
-        known = {v: murmur3_x64_low(v.encode()) & ((1 << bits) - 1) for v in values.dropna().unique()}
-        return values.map(known)
+    @F.arrow_udf("long")
+    def run(values: pa.Array) -> pa.Array:
+        h = x64_low_array(values.fill_null("")) & np.uint64((1 << bits) - 1)
+        return pa.array(h.astype(np.int64), mask=np.asarray(values.is_null()))
 
     return run(text)
+
+
+def count_buckets(lists: pa.ListArray, bits: int, bias: bool = True) -> pa.ListArray:
+    """Of each list of tokens the buckets with their counts, by ascending bucket; with
+    bias also of the constant token. A null list has no tokens, a null token is an
+    empty one."""
+    ends = np.asarray(lists.offsets)
+    flat = lists.values.slice(ends[0], ends[-1] - ends[0]).fill_null("")
+    row = np.repeat(np.arange(len(lists)), np.diff(ends))
+    mask = np.uint64((1 << bits) - 1)
+    idx = (x64_low_array(flat) & mask).astype(np.int64)
+    if bias:
+        row = np.concatenate((row, np.arange(len(lists))))
+        idx = np.concatenate((idx, np.full(len(lists), murmur3_x64_low(b"bias") & int(mask), np.int64)))
+    found, times = np.unique((row.astype(np.int64) << bits) + idx, return_counts=True)
+    pairs = pa.StructArray.from_arrays([pa.array(found & np.int64(mask)), pa.array(times.astype(float))], names=["idx", "val"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(found >> bits, np.arange(len(lists) + 1)).astype(np.int32)), pairs)
+
+
+def hash_counts(tokens: Column, bits: int, bias: bool = True) -> Column:
+    """count_buckets() of a column of lists: array of (idx, val), within the row."""
+    ship()
+
+    @F.arrow_udf("array<struct<idx:bigint,val:double>>")
+    def run(lists: pa.Array) -> pa.Array:
+        return count_buckets(lists, bits, bias)
+
+    return run(tokens)

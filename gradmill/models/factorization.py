@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradmill.functions.scalars import dot
+from gradmill.operators.frames import normal
+from gradmill.runtime import materialise
 
 GLOBAL_BIAS = 3.604  # a fixed value
 
 
 def initial_factors(ids: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """(key, bias, f): biases 0, factors near 0 from a hash of id and place: the same
-    for every run. Within 1 / k of 0."""
-    part = lambda i: (F.pmod(F.xxhash64(F.col(key), F.lit(i), F.lit(seed)), F.lit(2001)) / 1000.0 - 1) / k
+    """(key, bias, f): biases 0, factors normal with a standard deviation of 1 / k, from a
+    digest of id and place: the same for every run."""
+    part = lambda i: normal(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(i))), seed) / k
     return ids.select(key).distinct().select(key, F.lit(0.0).alias("bias"), F.array(*[part(i) for i in range(k)]).alias("f"))
 
 
@@ -66,28 +68,50 @@ def apply_changes(model: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return met.select(key, (F.col("bias") + F.coalesce("db", F.lit(0.0))).alias("bias"), F.when(F.col("df").isNull(), F.col("f")).otherwise(F.zip_with("f", "df", lambda a, b: a + b)).alias("f"))
 
 
-def sequential_epoch(ratings: DataFrame, users: DataFrame, items: DataFrame, rate: float, block: int, reg: float = 0.01) -> DataFrame:
-    """One pass of rating-by-rating updates within blocks of `block` users, ascending
-    by user and item: a user's vector moves before the item's vector uses it. Blocks
-    start from the same model; returns (user_id, bias, f, seen) of their users."""
+def sequential_changes(ratings: DataFrame, users: DataFrame, items: DataFrame, rate: float, block: int, reg: float = 0.01) -> DataFrame:
+    """(side, id, bias, f, seen): what one pass of rating-by-rating updates changes, for
+    the users ("user") and items ("item") of each block of `block` users. Within a block
+    ratings are taken ascending by user and item, and a user's vector moves before the
+    item's vector uses it; all blocks start from the same model, as workers do, so an
+    item has a row for each block that rates it. A group holds the ratings of one block
+    of users."""
     rows = _met(ratings, users, items).withColumn("block", F.floor(F.col("user_id") / block))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["user_id", "item_id"])
-        u, i = {}, {}
-        for r in pdf.itertuples():
-            u.setdefault(r.user_id, [r.bu, np.array(r.pu, float), 0])
-            i.setdefault(r.item_id, [r.bi, np.array(r.qi, float)])
-            mine, item = u[r.user_id], i[r.item_id]
-            e = r.rating - (GLOBAL_BIAS + mine[0] + item[0] + mine[1] @ item[1])
-            mine[0] += rate * (e - reg * mine[0])
-            item[0] += rate * (e - reg * item[0])
-            mine[1] = mine[1] + rate * (e * item[1] - reg * mine[1])
-            item[1] = item[1] + rate * (e * mine[1] - reg * item[1])
-            mine[2] += 1
-        return pd.DataFrame([(k, v[0], v[1].tolist(), v[2]) for k, v in u.items()], columns=["user_id", "bias", "f", "seen"])
-
-    return rows.groupBy("block").applyInPandas(run, "user_id long, bias double, f array<double>, seen long")
+        user_ids, u = np.unique(pdf["user_id"].to_numpy(), return_inverse=True)
+        item_ids, i = np.unique(pdf["item_id"].to_numpy(), return_inverse=True)
+        first_u, first_i = np.unique(u, return_index=True)[1], np.unique(i, return_index=True)[1]
+        p0, q0 = np.stack(pdf["pu"].to_numpy()[first_u]).astype(float), np.stack(pdf["qi"].to_numpy()[first_i]).astype(float)
+        bu0, bi0 = pdf["bu"].to_numpy(float)[first_u], pdf["bi"].to_numpy(float)[first_i]
+        p, q, bu, bi = p0.copy(), q0.copy(), bu0.copy(), bi0.copy()
+        for a, b, r in zip(u.tolist(), i.tolist(), pdf["rating"].tolist()):
+            mine, item = p[a], q[b]
+            e = r - (GLOBAL_BIAS + bu[a] + bi[b] + mine @ item)
+            bu[a] += rate * (e - reg * bu[a])
+            bi[b] += rate * (e - reg * bi[b])
+            mine += rate * (e * item - reg * mine)
+            item += rate * (e * mine - reg * item)
+        sides = [("user", user_ids, bu - bu0, p - p0, np.bincount(u)), ("item", item_ids, bi - bi0, q - q0, np.bincount(i))]
+        return pd.concat([pd.DataFrame({"side": side, "id": ids, "bias": b, "f": list(f), "seen": n}) for side, ids, b, f, n in sides])
+
+    return rows.groupBy("block").applyInPandas(run, "side string, id long, bias double, f array<double>, seen long")
+
+
+def merged_changes(changes: DataFrame, side: str, key: str) -> DataFrame:
+    """(key, bias, f, seen): the changes of one side, summed over the blocks."""
+    one = changes.filter(F.col("side") == side)
+    parts = one.select("id", "bias", "seen", F.posexplode("f").alias("place", "v"))
+    summed = parts.groupBy("id", "place").agg(F.sum("v").alias("v"), F.sum("bias").alias("bias"), F.sum("seen").alias("seen"))
+    rows = summed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("f"), F.first("bias").alias("bias"), F.first("seen").alias("seen"))  # a factor's places
+    return rows.select(F.col("id").alias(key), "bias", F.col("f.v").alias("f"), "seen")
+
+
+def sequential_epoch(ratings: DataFrame, users: DataFrame, items: DataFrame, rate: float, block: int, reg: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """The users and items after one pass of sequential_changes(), whose sums the server
+    adds as they are."""
+    changes = materialise(sequential_changes(ratings, users, items, rate, block, reg), "changes")
+    return apply_changes(users, merged_changes(changes, "user", "user_id"), "user_id"), apply_changes(items, merged_changes(changes, "item", "item_id"), "item_id")
 
 
 def global_mean_rmse(train: DataFrame, test: DataFrame) -> DataFrame:

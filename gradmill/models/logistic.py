@@ -7,6 +7,7 @@ expect it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +15,9 @@ from pyspark.sql import functions as F
 
 from gradmill.functions.scalars import log_loss, sigmoid
 from gradmill.models import optim
-
-
-def zero_weights(spark: SparkSession, bits: int) -> DataFrame:
-    return spark.range(1 << bits).select(F.col("id").cast("int").alias("idx"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h"))
+from gradmill.operators.frames import zero_weights
+from gradmill.runtime import materialise
+from gradmill.sources.writers import read_model, write_model
 
 
 def pull(long: DataFrame, weights: DataFrame) -> DataFrame:
@@ -71,40 +71,44 @@ def evaluate(long: DataFrame, weights: DataFrame, key: str) -> DataFrame:
 
 
 class LogisticRegression:
-    """Trains on long rows (key, label, idx, val, minibatch_id) for a number of steps.
-    Weights are written every few steps by checkpoint(), which cuts the lineage."""
-
-    def __init__(self, key: str, opt_method: str = "sgd", learning_rate: float = 0.01, epsilon: float = 0.0, momentum_beta: float = 0.9, bits: int = 10, cut_every: int = 5, threshold: float | None = None):
-        self.key, self.bits, self.epsilon, self.cut_every, self.threshold = key, bits, epsilon, cut_every, threshold
+    """Trains on long rows (key, label, idx, val, minibatch_id). A step is what `workers`
+    workers do at once: the summed gradient of that many minibatches, at the same
+    weights. The input is written once in the order of minibatch_id, so that a step's
+    scan is pruned to the files and row groups of its minibatches. Weights are written
+    after each step: a step names them three times, so that plans over several steps
+    would grow by powers."""
+
+    def __init__(self, key: str, opt_method: str = "sgd", learning_rate: float = 0.01, epsilon: float = 0.0, momentum_beta: float = 0.9, bits: int = 10, evaluate_every: int = 5, threshold: float | None = None, workers: int = 1):
+        self.key, self.bits, self.epsilon, self.evaluate_every, self.threshold, self.workers = key, bits, epsilon, evaluate_every, threshold, workers
         self.optimizer = optim.make(opt_method, learning_rate, epsilon or 1e-4, momentum_beta)
         self.weights: DataFrame | None = None
         self.history: list[tuple[int, float, float]] = []
 
-    def fit(self, long: DataFrame, steps: int, evaluate_on: DataFrame | None = None, stop_at_accuracy: float | None = None) -> "LogisticRegression":
-        spark = long.sparkSession
-        if not spark.sparkContext.getCheckpointDir():
-            from gradmill.streaming.state import checkpoint_dir
-
-            spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-        weights = zero_weights(spark, self.bits) if self.weights is None else self.weights
-        batches = [r[0] for r in long.select("minibatch_id").distinct().orderBy("minibatch_id").limit(max(steps, 1)).collect()]  # as many as there are steps
-        for step in range(steps if batches else 0):
-            part = long.filter(F.col("minibatch_id") == batches[step % len(batches)])
+    def fit(self, long: DataFrame, steps: int, evaluate_on: DataFrame | None = None, stop_at_accuracy: float | None = None, progress: Callable[[int, float, float], bool | None] | None = None) -> "LogisticRegression":
+        """progress gets the step, loss and accuracy after each evaluation; training stops
+        where it returns False, or where the accuracy is reached."""
+        weights = zero_weights(long.sparkSession, self.bits) if self.weights is None else self.weights
+        rows = materialise(long.repartitionByRange("minibatch_id").sortWithinPartitions("minibatch_id"), "minibatches")
+        low, high = rows.agg(F.min("minibatch_id"), F.max("minibatch_id")).first()
+        count = 0 if low is None else -(-(high - low + 1) // self.workers)
+        for step in range(steps if count else 0):
+            begin = low + step % count * self.workers
+            part = rows.filter(F.col("minibatch_id").between(begin, begin + self.workers - 1))
             g = gradient(part, self.optimizer.read(weights), self.key, self.epsilon, self.threshold, skip_zero=True)
-            weights = self.optimizer.step(weights, g)
-            if (step + 1) % self.cut_every == 0 or step + 1 == steps:
-                weights = weights.checkpoint()
-                if evaluate_on is not None:
-                    row = evaluate(evaluate_on, weights, self.key).first()
-                    self.history.append((step + 1, row["loss"], row["accuracy"]))
-                    if stop_at_accuracy is not None and row["accuracy"] >= stop_at_accuracy:
-                        break
+            weights = materialise(self.optimizer.step(weights, g), "weights")
+            if evaluate_on is not None and ((step + 1) % self.evaluate_every == 0 or step + 1 == steps):
+                row = evaluate(evaluate_on, weights, self.key).first()
+                self.history.append((step + 1, row["loss"], row["accuracy"]))
+                if stop_at_accuracy is not None and row["accuracy"] >= stop_at_accuracy:
+                    break
+                if progress is not None and progress(*self.history[-1]) is False:
+                    break
         self.weights = weights
         return self
 
     def save(self, path: str, version: int) -> None:
-        self.weights.write.mode("overwrite").parquet(f"{path}/version={version}")
+        write_model(self.weights, path, version)
 
     def load(self, spark: SparkSession, path: str, version: int) -> "LogisticRegression":
-        self.weights = spark.read.parquet(f"{path}/version={version}")
+        self.weights = read_model(spark, path, version)
         return self

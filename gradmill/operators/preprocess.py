@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradmill.functions.hashing import bucket_x64, murmur3_32
+from gradmill.functions.hashing import hash_counts, murmur3_32
 
 CONSTANT = 1e-4  # spreads and variances up to this count as none (a fixed value)
 
@@ -75,7 +75,24 @@ def hash_columns(df: DataFrame, key: str, hashed: dict[int, Column], kept: dict[
 
 
 def encode_tokens(df: DataFrame, key: str, tokens: Column, bits: int, bias: bool = True) -> DataFrame:
-    """(key, idx, val): counts of the tokens' buckets, empty tokens too, and of the
-    constant feature."""
-    all_ = F.concat(tokens, F.array(F.lit("bias"))) if bias else tokens
-    return df.select(key, F.explode(all_).alias("token")).groupBy(key, bucket_x64(F.col("token"), bits).alias("idx")).agg(F.count("*").cast("double").alias("val"))
+    """(key, idx, val): counts of the buckets of a row's tokens, empty tokens too, and of
+    the constant feature. Counted within the row: no shuffle, and rows of equal key stay
+    apart."""
+    return df.select(key, hash_counts(tokens, bits, bias).alias("features")).select(key, F.inline("features"))
+
+
+#: What normalize() dispatches on.
+MIN_MAX, NORMAL = "MIN_MAX", "NORMAL"
+
+
+def normalize(long: DataFrame, kind: str, *args: float) -> DataFrame:
+    """One entry for the scalers: MIN_MAX with the lower and upper end, or NORMAL."""
+    if kind == MIN_MAX:
+        if len(args) != 2:
+            raise ValueError("MIN_MAX takes a lower and an upper end")
+        return minmax_scale(long, *args)
+    if kind == NORMAL:
+        if args:
+            raise ValueError("NORMAL takes no ends")
+        return normal_scale(long)
+    raise ValueError(f"normalize knows {MIN_MAX} and {NORMAL}, not {kind!r}")

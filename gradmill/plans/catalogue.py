@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,14 @@ from gradmill import experiments
 from gradmill.functions.scalars import sigmoid
 from gradmill.models import factorization, logistic, optim, softmax
 from gradmill.operators import checks, frames, preprocess
+from gradmill.runtime import materialise, scratch
 from gradmill.sources import readers, writers
 from gradmill.streaming import state
 
 VALUES = {0: "l_quantity", 1: "l_extendedprice", 2: "l_discount", 3: "l_tax"}
 WEIGHTS = [0.1, 0.2, 0.3, 0.4]
 EPSILON = 1e-4
+DENSE_WEIGHTS = [0.1 * (i % 8 + 1) for i in range(64)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,13 +64,16 @@ def trainer_minmax_scale(spark, sf_dir):
     return preprocess.trainer_minmax_scale(long).select("o_orderkey", "idx", r6("val"))
 
 
-def dims(spark, sf_dir, count: int) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(count)])
+DIMS = 64
+
+
+def dims(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(DIMS)])
 
 
 def dense_zscore(spark, sf_dir):
-    names = [f"x{i}" for i in range(4)]
-    return preprocess.dense_zscore(dims(spark, sf_dir, 4).drop("label"), names).select("vec_id", *map(r6, names))
+    names = [f"x{i}" for i in range(DIMS)]
+    return preprocess.dense_zscore(dims(spark, sf_dir).drop("label"), names).select("vec_id", *map(r6, names))
 
 
 def per_user_standardize(spark, sf_dir):
@@ -115,8 +121,11 @@ def chunk_minibatch_ids(spark, sf_dir):
 
 
 def train_test_split_range(spark, sf_dir):
+    """The first four fifths of the chunks for training, the others for the test."""
     chunks = order_chunks(spark, sf_dir)
-    sides = [frames.in_range(chunks, b).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).select(F.lit(s).alias("side"), "n", "total") for s, b in (("train", (0, 1)), ("test", (1, 2)))]
+    count = chunks.agg(F.max("chunk_id")).first()[0] + 1
+    cut = count * 4 // 5
+    sides = [frames.in_range(chunks, b).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).select(F.lit(s).alias("side"), "n", "total") for s, b in (("train", (0, cut)), ("test", (cut, count)))]
     return sides[0].unionByName(sides[1])
 
 
@@ -163,8 +172,8 @@ def lr_gradient_threshold(spark, sf_dir):
 
 
 def lr_loss_accuracy(spark, sf_dir):
-    df = dims(spark, sf_dir, 8)
-    p = sigmoid(logistic.wide_margin([F.col(f"x{i}") for i in range(8)], [0.1 * (i + 1) for i in range(8)]))
+    df = dims(spark, sf_dir)
+    p = sigmoid(logistic.wide_margin([F.col(f"x{i}") for i in range(DIMS)], DENSE_WEIGHTS))
     rows = df.select((F.col("label") == 0).cast("double").alias("y"), p.alias("p"))
     return rows.agg(*logistic.evaluation(F.col("y"), F.col("p"))).select(r6("loss"), r6("accuracy"), "n")
 
@@ -177,9 +186,9 @@ def lr_eval_by_minibatch(spark, sf_dir):
 
 
 def lr_dense_gradient(spark, sf_dir):
-    df = dims(spark, sf_dir, 8)
-    out = logistic.wide_gradient(df, (F.col("label") == 0).cast("double"), [F.col(f"x{i}") for i in range(8)], [0.1 * (i + 1) for i in range(8)], EPSILON)
-    return out.select(*[r6(f"g{i}") for i in range(8)], r6("loss"), r6("accuracy"), "n")
+    df = dims(spark, sf_dir)
+    out = logistic.wide_gradient(df, (F.col("label") == 0).cast("double"), [F.col(f"x{i}") for i in range(DIMS)], DENSE_WEIGHTS, EPSILON)
+    return out.select(*[r6(f"g{i}") for i in range(DIMS)], r6("loss"), r6("accuracy"), "n")
 
 
 def step_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -226,8 +235,8 @@ def lr_three_steps_sgd(spark, sf_dir):
 
 
 def softmax_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    long = frames.long_form(dims(spark, sf_dir, 4), ["vec_id", "label"], {i: F.col(f"x{i}") for i in range(4)}, keep_zero=True).select("vec_id", "label", F.col("idx").alias("j"), F.col("val").alias("x"))
-    w = spark.createDataFrame([(j, k, 0.01 * (j + 1) * (k - 4)) for j in range(4) for k in range(10)], "j int, k int, w double")
+    long = frames.long_form(dims(spark, sf_dir), ["vec_id", "label"], {i: F.col(f"x{i}") for i in range(DIMS)}, keep_zero=True).select("vec_id", "label", F.col("idx").alias("j"), F.col("val").alias("x"))
+    w = spark.createDataFrame([(j, k, 0.001 * (j + 1) * (k - 4)) for j in range(DIMS) for k in range(10)], "j int, k int, w double")
     return long, w
 
 
@@ -260,7 +269,15 @@ def mf_batch_gradient(spark, sf_dir):
 
 
 def mf_sequential_epoch(spark, sf_dir):
-    return factorization.sequential_epoch(*factors(spark, sf_dir), 0.01, 200)
+    """Users after a pass of rating-by-rating updates in blocks of 200 users."""
+    users, _ = factorization.sequential_epoch(*factors(spark, sf_dir), 0.01, 200)
+    return users.select("user_id", r6("bias"), *[F.round(F.col("f")[k], 6).alias(f"f{k}") for k in range(3)])
+
+
+def mf_sequential_items(spark, sf_dir):
+    """Items after the same pass: the sums of what the blocks changed."""
+    _, items = factorization.sequential_epoch(*factors(spark, sf_dir), 0.01, 200)
+    return items.select("item_id", r6("bias"), *[F.round(F.col("f")[k], 6).alias(f"f{k}") for k in range(3)])
 
 
 def global_mean_rmse(spark, sf_dir):
@@ -315,10 +332,7 @@ def task_status_latest(spark, sf_dir):
 
 
 def task_lease_states(spark, sf_dir):
-    events = table(spark, sf_dir, "events").filter("event_type in ('signup', 'error')")
-    log = events.select("user_id", "event_id", F.when(F.col("event_type") == "signup", "register").otherwise("deregister").alias("op"), F.unix_timestamp("ts").alias("t"), F.lit(86400).alias("lease_s"))
-    log = log.withColumn("seq", F.struct("t", "event_id"))
-    return state.lease_codes(log, task="user_id").select("event_id", "user_id", "op", "code")
+    return state.lease_codes(lease_log(spark, sf_dir), task="user_id").select("event_id", "user_id", "op", "code")
 
 
 def duplicate_launches(spark, sf_dir):
@@ -367,14 +381,97 @@ def crc32_rows(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey", checks.checksum(F.concat_ws("|", "r_regionkey", "r_name")).alias("crc"))
 
 
+def stream_factor_sink(spark, sf_dir):
+    """events as a stream of changes of five items' factors, by micro-batches."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    v = F.col("value") / 1e6
+    stream = source.parquet(f"{sf_dir}/events.parque[t]").select(F.lit("item").alias("side"), (F.col("user_id") % 5).alias("id"), v.alias("bias"), F.array(v * 2, -v).alias("f"))  # a pattern: a table may be a file
+    model = spark.createDataFrame([("item", i, 0.5, [0.0, float(i)]) for i in range(5)], "side string, id long, bias double, f array<double>")
+    return state.factor_sink(stream, model).select("id", r6("bias"), F.round(F.col("f")[0], 6).alias("f0"), F.round(F.col("f")[1], 6).alias("f1"))
+
+
+def model_snapshot(spark, sf_dir):
+    """What a reader sees of a sink's model: its newest version."""
+    folder = scratch(spark, "sink")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    weights = spark.createDataFrame([(i, 1.0, 0.0) for i in range(3)], "idx int, w double, h double")
+    state.gradient_sink(stream.select((F.col("user_id") % 2).cast("int").alias("idx"), (F.col("value") / 1e6).alias("g")), weights, optim.make("sgd", 0.5).step, folder)
+    return state.snapshot(spark, folder).select("idx", r6("w"))
+
+
+def lease_log(spark, sf_dir) -> DataFrame:
+    events = table(spark, sf_dir, "events").filter("event_type in ('signup', 'error')")
+    log = events.select("user_id", "event_id", F.when(F.col("event_type") == "signup", "register").otherwise("deregister").alias("op"), F.unix_timestamp("ts").alias("t"), F.lit(86400).alias("lease_s"))
+    return log.withColumn("seq", F.struct("t", "event_id"))
+
+
+def fleet_shortfall(spark, sf_dir):
+    """How many tasks run a week into the log, and how many are to be started."""
+    codes = state.lease_codes(lease_log(spark, sf_dir), task="user_id")
+    at = codes.agg(F.min("t")).first()[0] + 7 * 86400
+    return state.fleet(codes, 1000, float(at), task="user_id")
+
+
+def best_traces(spark, sf_dir):
+    """The whole logs of the five experiments that end best."""
+    return experiments.traces(metric_log(spark, sf_dir), 5, "experiment_id", ["ts", "event_id"]).select("experiment_id", "event_id", "loss", "rank")
+
+
+def worst_traces(spark, sf_dir):
+    return experiments.traces(metric_log(spark, sf_dir), -3, "experiment_id", ["ts", "event_id"]).select("experiment_id", "event_id", "loss", "rank")
+
+
+def rounded_metrics(spark, sf_dir):
+    return experiments.rounded(table(spark, sf_dir, "events").select("event_id", (F.col("value") / 7).alias("t"), (F.col("value") / 11).alias("loss")))
+
+
+def lr_train(spark, sf_dir):
+    """A training task from a JobConfig: events as samples, four minibatches a step."""
+    from gradmill.config import JobConfig
+    from gradmill.models import tasks
+
+    e = table(spark, sf_dir, "events")
+    pairs = F.array(*[F.struct(F.lit(i).cast("long").alias("idx"), v.cast("double").alias("val")) for i, v in enumerate((F.lit(1.0), F.col("value") / 500, F.hour("ts") / 24))])
+    rows = e.select((F.col("value") > 100).cast("double").alias("label"), pairs.alias("features"))
+    c = JobConfig(model_bits=3, opt_method="adagrad", learning_rate=0.5, minibatch_size=100, s3_size=1000, train_set=(0, 1 << 40), test_set=(1 << 40, 1 << 41))
+    samples = tasks.chunked(rows, c)
+    count = samples.agg(F.max("chunk_id")).first()[0] + 1
+    cut = max(count * 4 // 5, 1)
+    task = tasks.LogisticRegressionTask(replace(c, train_set=(0, cut), test_set=(cut, max(count, cut + 1)) if count > cut else (cut, cut + 1)))
+    task.run(spark, samples, steps=20, evaluate_every=10, workers=4)
+    return task.metrics(spark).select("seq", F.round("loss", 4).alias("loss"), F.round("quality", 4).alias("accuracy"))
+
+
+def cf_train(spark, sf_dir):
+    """Matrix factorisation from a JobConfig: the RMSE after each of three epochs."""
+    from gradmill.config import JobConfig
+    from gradmill.models import tasks
+
+    task = tasks.CollaborativeFilteringTask(JobConfig(model_type="CollaborativeFiltering", learning_rate=0.05, num_factors=3, minibatch_size=200))
+    task.run(spark, ratings(spark, sf_dir), epochs=3)
+    return task.metrics(spark).select("seq", F.round("quality", 6).alias("rmse"))
+
+
+def grid_search(spark, sf_dir):
+    """Four factorisations by a grid of settings, two at a time; the best two."""
+    from gradmill.config import JobConfig
+    from gradmill.models import tasks
+
+    base = JobConfig(model_type="CollaborativeFiltering", num_factors=3, minibatch_size=200)
+    grid = tasks.GridSearch(base, {"learning_rate": [0.01, 0.05], "num_factors": [2, 4]}, jobs=2, machines=2, epochs=2)
+    grid.run(spark, materialise(ratings(spark, sf_dir), "ratings"))
+    return grid.top(spark, 2).select("experiment_id", F.round("last_loss", 6).alias("last_loss"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lr_gradient_step, column_bounds, column_moments, minmax_scale, minmax_scale_constant_midpoint, normal_scale, trainer_minmax_scale, dense_zscore,
         per_user_standardize, feature_hash_columns, hash_encode_row, sparse_explode, nnz_stats, ratings_dense_ids, chunk_minibatch_ids, train_test_split_range,
         sparse_weight_pull, distinct_index_pull, lr_gradient_threshold, lr_loss_accuracy, lr_eval_by_minibatch, lr_dense_gradient, opt_sgd_step, opt_adagrad_step,
-        opt_momentum_step, opt_nesterov_pull, lr_three_steps_sgd, softmax_loss, softmax_gradient, mf_predict, mf_rmse, mf_batch_gradient, mf_sequential_epoch,
+        opt_momentum_step, opt_nesterov_pull, lr_three_steps_sgd, softmax_loss, softmax_gradient, mf_predict, mf_rmse, mf_batch_gradient, mf_sequential_epoch, mf_sequential_items,
         global_mean_rmse, grid_product, grid_assignment, top_experiments, loss_dedup, cost_model, updates_per_second, kv_last_write, task_status_latest,
         task_lease_states, duplicate_launches, quality_checks, libsvm_export, rcv1_parse, text_hash_lr, stream_gradient_sink, crc32_rows,
+        stream_factor_sink, model_snapshot, fleet_shortfall, best_traces, worst_traces, rounded_metrics, lr_train, cf_train, grid_search,
     )
 }

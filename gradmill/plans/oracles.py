@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gradmill.plans.sql import crc32, x64
+
 _LINES = """
 lines AS (
   SELECT 0 AS idx, l_quantity AS val FROM lineitem WHERE l_quantity <> 0 UNION ALL
@@ -40,11 +42,11 @@ _GRAD = f"{_STATS}, {_W0}, {_step(0, 'w')}"
 _MEAN = f"{_GRAD}, gs AS ({' UNION ALL '.join(f'SELECT {i} AS idx, g{i} / n AS g FROM g0' for i in range(4))}), ws(idx, w, h) AS (VALUES (0, 0.1::DOUBLE, 0.0::DOUBLE), (1, 0.2, 0.01), (2, 0.3, 0.02), (3, 0.4, 0.03), (4, 0.5, 0.04))"
 _MOM = f"{_MEAN}, m AS (SELECT m0, 0.9 * m0 + 0.05 * g1 AS m1, 0.9 * (0.9 * m0 + 0.05 * g1) + 0.05 * g2 AS m2, 0.9 * (0.9 * (0.9 * m0 + 0.05 * g1) + 0.05 * g2) + 0.05 * g3 AS m3 FROM (SELECT g0 / n AS m0, g1 / n AS g1, g2 / n AS g2, g3 / n AS g3 FROM g0)), mw AS ({' UNION ALL '.join(f'SELECT {i} AS idx, {0.1 * (i + 1):.1f} + m{i} AS w FROM m' for i in range(4))} UNION ALL SELECT 4, 0.5)"
 _THREE = f"{_GRAD}, v1 AS (SELECT {', '.join(f'w{i} + g{i} / n AS w{i}' for i in range(4))} FROM g0), {_step(1, 'v1')}, v2 AS (SELECT {', '.join(f'w{i} + g{i} / n AS w{i}' for i in range(4))} FROM g1), {_step(2, 'v2')}"
-_DIMS = "e AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(8)) + " FROM embeddings)"
-_EP = f"{_DIMS}, ep AS (SELECT *, CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END AS y, 1 / (1 + exp(-({' + '.join(f'x{i} * {0.1 * (i + 1)!r}' for i in range(8))}))) AS p FROM e)"
+_DIMS = "e AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(64)) + " FROM embeddings)"
+_EP = f"{_DIMS}, ep AS (SELECT *, CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END AS y, 1 / (1 + exp(-({' + '.join(f'x{i} * {0.1 * (i % 8 + 1)!r}::DOUBLE' for i in range(64))}))) AS p FROM e)"
 _LOSS = "round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS loss, round(avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n"
 _SAMPLES = "s AS (SELECT event_id, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS y, value / 500 AS x0, hour(ts) / 24.0::DOUBLE AS x1, (user_id % 7)::DOUBLE AS x2 FROM events), sp AS (SELECT *, 1 / (1 + exp(-(0.1 * x0 + 0.2 * x1 + 0.3 * x2))) AS p FROM s WHERE x0 <> 0 OR x1 <> 0 OR x2 <> 0)"
-_SOFT = "e AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(4)) + " FROM embeddings), sc AS (SELECT vec_id, label, k, x0, x1, x2, x3, exp(" + " + ".join(f"x{i} * (0.01 * {i + 1} * (k - 4))" for i in range(4)) + ") AS ex FROM e, range(10) t(k)), sm AS (SELECT *, ex / sum(ex) OVER (PARTITION BY vec_id) AS p FROM sc)"
+_SOFT = _DIMS + ", sc AS (SELECT vec_id, label, k, " + ", ".join(f"x{i}" for i in range(64)) + ", exp(" + " + ".join(f"x{i} * (0.001::DOUBLE * {i + 1} * (k - 4))" for i in range(64)) + ") AS ex FROM e, range(10) t(k)), sm AS (SELECT *, ex / sum(ex) OVER (PARTITION BY vec_id) AS p FROM sc)"
 _RATINGS = "names AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS item_id FROM (SELECT DISTINCT event_type FROM events)), rt AS (SELECT user_id, item_id, avg(value) / 100 AS rating FROM events JOIN names USING (event_type) GROUP BY ALL)"
 
 
@@ -55,6 +57,17 @@ def _side(key: str, a: int) -> str:
 _MF = f"{_RATINGS}, u AS {_side('user_id', 11)}, it AS {_side('item_id', 7)}, pr AS (SELECT rt.*, u.bias AS bu, it.bias AS bi, {', '.join(f'u.f{i} AS p{i}, it.f{i} AS q{i}' for i in range(3))}, 3.604::DOUBLE + u.bias + it.bias + u.f0 * it.f0 + u.f1 * it.f1 + u.f2 * it.f2 AS prediction FROM rt JOIN u USING (user_id) JOIN it USING (item_id))"
 
 
+_LAST = "lst AS (SELECT user_id AS experiment_id, arg_max(round(value, 4), (ts, event_id)) AS last_loss FROM events GROUP BY 1)"
+#: One row a rating and block of users: the user's state and all items' after it.
+_SEQUENTIAL = f"""WITH RECURSIVE {_RATINGS}, u AS {_side('user_id', 11)}, it AS {_side('item_id', 7)},
+o AS (SELECT user_id // 200 AS block, row_number() OVER (PARTITION BY user_id // 200 ORDER BY user_id, item_id) AS r, user_id, item_id + 1 AS i, rating, bias, [f0, f1, f2] AS f FROM rt JOIN u USING (user_id)),
+s AS (SELECT block, 0::BIGINT AS r, -1::BIGINT AS user_id, 0.0::DOUBLE AS bu, [0.0::DOUBLE] AS p, (SELECT list(bias ORDER BY item_id) FROM it) AS b, (SELECT list([f0, f1, f2] ORDER BY item_id) FROM it) AS q FROM (SELECT DISTINCT block FROM o)
+UNION ALL SELECT block, r, user_id, bu, p, list_transform(b, lambda x, n: CASE WHEN n = i THEN x + 0.01 * (e - 0.01 * x) ELSE x END), list_transform(q, lambda x, n: CASE WHEN n = i THEN [x[1] + 0.01 * (e * p[1] - 0.01 * x[1]), x[2] + 0.01 * (e * p[2] - 0.01 * x[2]), x[3] + 0.01 * (e * p[3] - 0.01 * x[3])] ELSE x END)
+FROM (SELECT block, r, user_id, i, e, b, q, bu + 0.01 * (e - 0.01 * bu) AS bu, list_transform(p, lambda x, n: x + 0.01 * (e * q[i][n] - 0.01 * x)) AS p
+FROM (SELECT *, rating - (3.604::DOUBLE + bu + b[i] + p[1] * q[i][1] + p[2] * q[i][2] + p[3] * q[i][3]) AS e
+FROM (SELECT o.block, o.r, o.user_id, o.i, o.rating, s.b, s.q, CASE WHEN o.user_id = s.user_id THEN s.bu ELSE o.bias END AS bu, CASE WHEN o.user_id = s.user_id THEN s.p ELSE o.f END AS p FROM s JOIN o ON o.block = s.block AND o.r = s.r + 1))))"""
+
+
 def _mix(k: str) -> str:
     """k scrambled; k is an SQL expression of a UBIGINT below 2 ** 32."""
     one = f"((({k}) * 3432918353::UHUGEINT) & 4294967295::UHUGEINT)"
@@ -89,27 +102,27 @@ ORACLES = {
     "minmax_scale_constant_midpoint": f"WITH {_EVENTS3} SELECT event_id, idx, round(CASE WHEN b - a > 1e-4 THEN (val - a) / (b - a) * 3 ELSE 1.5 END, 6) + 0.0 AS val FROM (SELECT *, min(val) OVER w AS a, max(val) OVER w AS b FROM ev WINDOW w AS (PARTITION BY idx))",
     "normal_scale": f"WITH {_EVENTS3} SELECT event_id, idx, round(CASE WHEN v <= 1e-4 THEN 0 ELSE (val - m) / sqrt(v) END, 6) + 0.0 AS val FROM (SELECT *, avg(val) OVER w AS m, var_pop(val) OVER w AS v FROM ev WINDOW w AS (PARTITION BY idx))",
     "trainer_minmax_scale": "WITH o AS (SELECT o_orderkey, 0 AS idx, o_totalprice AS val FROM orders UNION ALL SELECT o_orderkey, 1, -o_totalprice FROM orders UNION ALL SELECT o_orderkey, 2, 0.0 FROM orders) SELECT o_orderkey, idx, round(CASE WHEN b <> a THEN (val - a) / (b - a) ELSE val END, 6) + 0.0 AS val FROM (SELECT *, min(val) OVER w AS a, greatest(max(val) OVER w, 0) AS b FROM o WINDOW w AS (PARTITION BY idx))",
-    "dense_zscore": f"WITH {_DIMS} SELECT vec_id, {', '.join(f'round((x{i} - avg(x{i}) OVER ()) / stddev_pop(x{i}) OVER (), 6) + 0.0 AS x{i}' for i in range(4))} FROM e",
+    "dense_zscore": f"WITH {_DIMS} SELECT vec_id, {', '.join(f'round((x{i} - avg(x{i}) OVER ()) / stddev_pop(x{i}) OVER (), 6) + 0.0 AS x{i}' for i in range(64))} FROM e",
     "per_user_standardize": "SELECT event_id, user_id, round((value - m) / s, 6) + 0.0 AS value FROM (SELECT *, avg(value) OVER (PARTITION BY user_id) AS m, stddev_pop(value) OVER (PARTITION BY user_id) AS s FROM events) WHERE s <> 0",
     "feature_hash_columns": f"WITH {_HASHED} SELECT event_id, idx, count(*)::DOUBLE AS val FROM toks JOIN d3 USING (t) GROUP BY ALL UNION ALL SELECT event_id, 17, round(value, 6) FROM events",
     "sparse_explode": f"WITH {_EVENTS} SELECT event_id, idx, round(val, 6) AS val FROM ev",
     "nnz_stats": f"WITH {_LINES} SELECT (SELECT count(*) FROM lines) AS entries, count(*) AS rows, max((l_quantity <> 0)::INT + (l_extendedprice <> 0)::INT + (l_discount <> 0)::INT + (l_tax <> 0)::INT) AS most FROM lineitem",
     "ratings_dense_ids": f"WITH {_RATINGS} SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS user_id, user_id AS raw_user, item_id, round(rating, 6) AS rating FROM rt",
     "chunk_minibatch_ids": "SELECT o_orderkey, p AS position, p // 1000 AS chunk_id, p % 1000 // 20 AS minibatch_id FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders)",
-    "train_test_split_range": "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders) SELECT side, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM (SELECT CASE WHEN p < 1000 THEN 'train' WHEN p < 2000 THEN 'test' END AS side, o_totalprice FROM o) WHERE side IS NOT NULL GROUP BY side",
+    "train_test_split_range": "WITH o AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS c FROM orders), m AS (SELECT (max(c) + 1) * 4 // 5 AS cut FROM o) SELECT CASE WHEN c < cut THEN 'train' ELSE 'test' END AS side, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM o, m GROUP BY 1",
     "sparse_weight_pull": f"WITH {_LINES} SELECT idx, count(*) AS requests, CASE WHEN idx < 3 THEN round(0.1 * (idx + 1), 1)::DOUBLE ELSE 0 END AS w FROM lines GROUP BY idx",
     "distinct_index_pull": f"WITH {_LINES} SELECT DISTINCT idx, round(0.1 * (idx + 1), 1)::DOUBLE AS w FROM lines WHERE idx < 3",
     "lr_gradient_threshold": f"WITH {_SAMPLES}, g AS ({' UNION ALL '.join(f'SELECT {i} AS idx, sum(x{i} * (y - p)) AS d, {0.1 * (i + 1):.1f} * 0.0002 AS pen FROM sp' for i in range(3))}) SELECT idx, round(d + pen, 6) AS g FROM g WHERE d <> 0 AND abs(d + pen) > 300",
     "lr_loss_accuracy": f"WITH {_EP} SELECT {_LOSS} FROM ep",
     "lr_eval_by_minibatch": f"WITH {_SAMPLES}, mb AS (SELECT event_id // 20 AS b, sum(-(y * ln(p) + (1 - y) * ln(1 - p))) AS loss, avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n FROM sp GROUP BY 1) SELECT round(sum(loss) / sum(n), 6) AS loss, round(avg(accuracy), 6) AS accuracy, sum(n)::BIGINT AS n FROM mb",
-    "lr_dense_gradient": f"WITH {_EP} SELECT {', '.join(f'round(sum(x{i} * (y - p)) + 0.0002 * {0.1 * (i + 1)!r}, 6) AS g{i}' for i in range(8))}, {_LOSS} FROM ep",
+    "lr_dense_gradient": f"WITH {_EP} SELECT {', '.join(f'round(sum(x{i} * (y - p)) + 0.0002 * {0.1 * (i % 8 + 1)!r}, 6) + 0.0 AS g{i}' for i in range(64))}, {_LOSS} FROM ep",
     "opt_sgd_step": f"WITH {_MEAN} SELECT idx, round(w + coalesce(0.5 * g, 0), 6) AS w FROM ws LEFT JOIN gs USING (idx)",
     "opt_adagrad_step": f"WITH {_MEAN} SELECT idx, round(w + 0.5 * coalesce(g, 0) / (1e-4 + sqrt(h + coalesce(g, 0) ** 2)), 6) AS w, round(h + coalesce(g, 0) ** 2, 6) AS h FROM ws LEFT JOIN gs USING (idx)",
     "opt_momentum_step": f"WITH {_MOM} SELECT idx, round(w, 6) AS w FROM mw",
     "opt_nesterov_pull": f"WITH {_MOM} SELECT idx, round(w + 0.9 * m3, 6) AS w FROM mw, m",
     "lr_three_steps_sgd": f"WITH {_THREE} SELECT {', '.join(f'round(w{i} + g{i} / n, 6) AS w{i}' for i in range(4))}, n FROM g2",
     "softmax_loss": f"WITH {_SOFT} SELECT round(avg(CASE WHEN own < 1e-10 THEN 1e-10 ELSE -ln(own) END), 6) AS loss, round(avg((own >= best)::INT), 6) AS accuracy, count(*) AS n FROM (SELECT max(p) AS best, max(CASE WHEN k = label THEN p END) AS own FROM sm GROUP BY vec_id)",
-    "softmax_gradient": f"WITH {_SOFT} SELECT j::INTEGER AS j, k::INTEGER AS k, round(g / (SELECT count(*) FROM e) + 1e-4 * 0.01 * (j + 1) * (k - 4), 6) + 0.0 AS g FROM ({' UNION ALL '.join(f'SELECT {i} AS j, k, sum(x{i} * (p - (k = label)::INT)) AS g FROM sm GROUP BY k' for i in range(4))})",
+    "softmax_gradient": f"WITH {_SOFT} SELECT j::INTEGER AS j, k::INTEGER AS k, round(g / (SELECT count(*) FROM e) + 1e-4 * 0.001 * (j + 1) * (k - 4), 6) + 0.0 AS g FROM ({' UNION ALL '.join(f'SELECT {i} AS j, k, sum(x{i} * (p - (k = label)::INT)) AS g FROM sm GROUP BY k' for i in range(64))})",
     "mf_predict": f"WITH {_MF} SELECT user_id, item_id, round(prediction, 6) AS prediction FROM pr",
     "mf_rmse": f"WITH {_MF} SELECT round(sqrt(avg((rating - prediction) ** 2)), 6) AS rmse, count(*) AS n FROM pr",
     "mf_batch_gradient": f"WITH {_MF} SELECT user_id, round(any_value(bu) + sum(0.01 * (rating - prediction - 0.05 * bu)), 6) AS bias, {', '.join(f'round(any_value(p{i}) + sum(0.01 * ((rating - prediction) * q{i} - 0.05 * p{i})), 6) AS f{i}' for i in range(3))} FROM pr GROUP BY user_id",
@@ -132,4 +145,19 @@ ORACLES = {
     "quality_checks": "SELECT count(*) AS n, count(*) FILTER (l_tax IS NULL OR isnan(l_tax) OR isinf(l_tax)) AS bad_tax, 0::BIGINT AS bad_label, count(*) FILTER (NOT l_linenumber >= 0) AS bad_line, count(*) FILTER (l_quantity > 45 OR l_quantity < -45) AS bad_rating FROM lineitem",
     "libsvm_export": f"SELECT line, count(*) AS n FROM (SELECT concat_ws(' ', (l_returnflag = 'R')::INT, {', '.join(f'CASE WHEN round({c} * 100) <> 0 THEN {i} || chr(58) || round({c} * 100)::BIGINT END' for i, c in enumerate(('l_quantity', 'l_extendedprice', 'l_discount', 'l_tax')))}) AS line FROM lineitem) GROUP BY line",
     "rcv1_parse": "SELECT o_orderkey, (o_custkey % 5 + 1) || ',' || (o_orderkey % 3 + 1) AS labels, CASE WHEN o_custkey % 7 = o_orderkey % 7 THEN 1 ELSE 2 END AS n, (2 * (o_custkey % 7 + 1) + o_orderkey % 10 * (o_orderkey % 7 + 1))::DOUBLE AS weighted FROM orders",
+    "hash_encode_row": f"WITH RECURSIVE toks AS (SELECT p_partkey, unnest([p_brand, p_type, 'bias']) AS t FROM part), {x64('toks')} SELECT p_partkey, (h % 1024)::BIGINT AS idx, count(*)::DOUBLE AS val FROM toks JOIN hashed USING (t) GROUP BY ALL",
+    "text_hash_lr": f"WITH RECURSIVE toks AS (SELECT quality AS y, unnest(list_append(string_split(text, ' '), 'bias')) AS t FROM documents JOIN labels USING (doc_id)), {x64('toks')} SELECT (h % 16384)::BIGINT AS idx, round(sum(y - 0.5::DOUBLE), 6) + 0.0 AS g FROM toks JOIN hashed USING (t) GROUP BY 1",
+    "stream_gradient_sink": "SELECT (user_id % 4)::INTEGER AS idx, round(sum(value / 1e6), 6) AS w FROM events GROUP BY 1",
+    "stream_factor_sink": "SELECT user_id % 5 AS id, round(0.5 + sum(value / 1e6), 6) AS bias, round(sum(value * 2 / 1e6), 6) AS f0, round(user_id % 5 - sum(value / 1e6), 6) AS f1 FROM events GROUP BY 1",
+    "model_snapshot": "SELECT i::INTEGER AS idx, round(1 + 0.5 * coalesce(sum(value) / 1e6, 0), 6) AS w FROM range(3) t(i) LEFT JOIN events ON user_id % 2 = i GROUP BY i",
+    "crc32_rows": f"SELECT r_regionkey, {crc32("r_regionkey || '|' || r_name")} AS crc FROM region",
+    "fleet_shortfall": """WITH l AS (SELECT event_id, user_id, event_type = 'signup' AS reg, floor(epoch(ts))::BIGINT AS t FROM events WHERE event_type IN ('signup', 'error')), z AS (SELECT min(t) + 604800 AS upto FROM l),
+      b AS (SELECT user_id, min(row(t, event_id)) AS s FROM l, z WHERE reg AND t <= upto GROUP BY user_id),
+      d AS (SELECT DISTINCT l.user_id FROM l JOIN b USING (user_id), z WHERE NOT reg AND t <= upto AND row(t, event_id) > s AND t - s[1] <= 86403)
+      SELECT count(*) AS running, greatest(1000 - count(*), 0) AS to_start FROM b, z WHERE upto - s[1] <= 86403 AND user_id NOT IN (SELECT user_id FROM d)""",
+    "best_traces": f"WITH {_LAST}, r AS (SELECT experiment_id, row_number() OVER (ORDER BY last_loss, experiment_id)::INTEGER AS rank FROM lst) SELECT user_id AS experiment_id, event_id, round(value, 4) AS loss, rank FROM events JOIN r ON user_id = experiment_id WHERE rank <= 5",
+    "worst_traces": f"WITH {_LAST}, r AS (SELECT experiment_id, row_number() OVER (ORDER BY last_loss DESC, experiment_id)::INTEGER AS rank FROM lst) SELECT user_id AS experiment_id, event_id, round(value, 4) AS loss, rank FROM events JOIN r ON user_id = experiment_id WHERE rank <= 3",
+    "rounded_metrics": "SELECT event_id, round(value / 7, 3) AS t, round(value / 11, 4) AS loss FROM events",
+    "mf_sequential_epoch": f"{_SEQUENTIAL} SELECT user_id, round(arg_max(bu, r), 6) AS bias, {', '.join(f'round(arg_max(p[{i + 1}], r), 6) AS f{i}' for i in range(3))} FROM s WHERE r > 0 GROUP BY user_id",
+    "mf_sequential_items": f"{_SEQUENTIAL}, z AS (SELECT block, arg_max(b, r) AS b, arg_max(q, r) AS q FROM s GROUP BY block) SELECT item_id, round(any_value(it.bias) + sum(z.b[item_id + 1] - it.bias), 6) AS bias, {', '.join(f'round(any_value(it.f{i}) + sum(z.q[item_id + 1][{i + 1}] - it.f{i}), 6) AS f{i}' for i in range(3))} FROM it, z GROUP BY item_id",
 }

@@ -1,17 +1,19 @@
-"""Readers: text formats to typed tables, with explicit schemas. All are splittable,
-lose no lines, and give rows ids that do not depend on partitioning where the
-format has one."""
+"""Readers: text formats to typed tables, with explicit schemas. They lose no lines, and
+give rows ids that do not depend on partitioning where the format has one. Formats of
+lines are splittable; movie_blocks and binary chunks are read a file at a time."""
 
 from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradmill.functions.hashing import hash_counts
 from gradmill.functions.scalars import to_number, tokens
-from gradmill.operators.preprocess import encode_tokens
+from gradmill.runtime import ship
 
 
 def dense_csv(spark: SparkSession, path: str, delimiter: str = ",", limit_cols: int = 0, label_col: int = 0) -> DataFrame:
@@ -27,15 +29,14 @@ def dense_csv(spark: SparkSession, path: str, delimiter: str = ",", limit_cols:
 
 
 def click_log_csv(spark: SparkSession, path: str, bits: int, delimiter: str = ",", header: bool = True, first: int = 2, label_at: int = 1, bias: bool = True) -> DataFrame:
-    """(sample_id, label, idx, val): every token from column `first` on is hashed as
-    text, empty ones too. sample_id is the row's first token where there is one."""
-    lines = spark.read.text(path)
-    rows = lines.select(tokens(F.col("value"), delimiter).alias("t"))
+    """(sample_id, label, features) with one row a line: every token from column `first`
+    on is hashed as text, empty ones too, and counted within the line. sample_id is the
+    line's first token, null where that is the label; lines of one id stay apart."""
+    rows = spark.read.text(path).select(tokens(F.col("value"), delimiter).alias("t"))
     if header:
         rows = rows.filter(F.col("t")[label_at].try_cast("double").isNotNull())
-    rows = rows.select((F.col("t")[0] if label_at else F.sha2(F.array_join("t", "\t"), 256)).alias("sample_id"), to_number(F.col("t")[label_at]).alias("label"), F.slice("t", first + 1, F.size("t")).alias("t"))
-    hashed = encode_tokens(rows, "sample_id", F.col("t"), bits, bias)
-    return hashed.join(rows.select("sample_id", "label").distinct(), "sample_id")
+    sample = F.col("t")[0] if label_at else F.lit(None).cast("string")
+    return rows.select(sample.alias("sample_id"), to_number(F.col("t")[label_at]).alias("label"), hash_counts(F.slice("t", first + 1, F.greatest(F.size("t"), F.lit(1))), bits, bias).alias("features"))
 
 
 def ratings_csv(spark: SparkSession, path: str, header: bool = True, user_base: int = 1, item_base: int = 0) -> DataFrame:
@@ -46,11 +47,11 @@ def ratings_csv(spark: SparkSession, path: str, header: bool = True, user_base:
     return rows.filter("user_id is not null") if header else rows
 
 
-def libsvm(lines: DataFrame, column: str = "value") -> DataFrame:
-    """label and features (idx, val) of lines `label idx:val …`."""
+def libsvm(lines: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """label and features (idx, val) of lines `label idx:val …`, and the columns to keep."""
     t = F.filter(F.split(F.trim(column), r"\s+"), lambda x: x != "")
     pairs = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), _pair)
-    return lines.select(t[0].try_cast("double").alias("label"), pairs.alias("features"))
+    return lines.select(*(keep or []), t[0].try_cast("double").alias("label"), pairs.alias("features"))
 
 
 def _pair(x):
@@ -85,6 +86,9 @@ def movie_blocks(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.size(t) >= 2).select(t[0].cast("long").alias("user_id"), "item_id", t[1].cast("double").alias("rating"))
 
 
+_PAIR = np.dtype([("idx", "<i4"), ("val", "<f4")])
+
+
 def decode_chunk(data: bytes, labels: bool = True) -> list[tuple[float | None, list[tuple[int, float]]]]:
     """Rows of a binary chunk: size, count, then ([label] nnz (idx val)*) of each."""
     _, count = struct.unpack_from("<ii", data)
@@ -94,7 +98,7 @@ def decode_chunk(data: bytes, labels: bool = True) -> list[tuple[float | None, l
         if labels:
             (label,), at = struct.unpack_from("<f", data, at), at + 4
         (nnz,), at = struct.unpack_from("<i", data, at), at + 4
-        out.append((label, [struct.unpack_from("<if", data, at + 8 * k) for k in range(nnz)]))
+        out.append((label, np.frombuffer(data, _PAIR, nnz, at).tolist()))
         at += 8 * nnz
     return out
 
@@ -104,12 +108,18 @@ def encode_chunk(rows: list[tuple[float | None, list[tuple[int, float]]]]) -> by
     return struct.pack("<ii", len(body) + 8, len(rows)) + body
 
 
-def binary_chunks(spark: SparkSession, path: str, labels: bool = True) -> DataFrame:
-    """(path, place, label, features) of binary chunk files, one task for some files."""
+def decode_chunks(chunks: DataFrame, labels: bool = True) -> DataFrame:
+    """(path, place, label, features) of rows with path and content, a binary chunk."""
+    ship(chunks.sparkSession)
 
     def run(parts):
         for pdf in parts:
             rows = [(p, k, label, [{"idx": i, "val": v} for i, v in pairs]) for p, c in zip(pdf["path"], pdf["content"]) for k, (label, pairs) in enumerate(decode_chunk(c, labels))]
             yield pd.DataFrame(rows, columns=["path", "place", "label", "features"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, place int, label double, features array<struct<idx:int,val:double>>")
+    return chunks.select("path", "content").mapInPandas(run, "path string, place int, label double, features array<struct<idx:int,val:double>>")
+
+
+def binary_chunks(spark: SparkSession, path: str, labels: bool = True) -> DataFrame:
+    """decode_chunks() of binary chunk files, one task for some files."""
+    return decode_chunks(spark.read.format("binaryFile").load(path), labels)

@@ -4,35 +4,31 @@ unbounded ones a streaming form."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-GRACE_S = 3  # a lease outlives its time by this (a fixed value)
-
+from gradmill.runtime import scratch, ship
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names, or a new one where it names none."""
-    sc = spark.sparkContext
-    return sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="gradmill-")
+GRACE_S = 3  # a lease outlives its time by this (a fixed value)
 
 
 def lease_codes(log: DataFrame, task: str = "task_id", seq: str = "seq", op: str = "op", at: str = "t", length: str = "lease_s") -> DataFrame:
     """The log with code. register: 0 the first time, 1 ever after. deregister: 0 if
     the task's lease stands, 1 if it has ended or expired, 2 if it never registered.
-    A task's first registration alone begins a lease; at is in seconds."""
-    before = Window.partitionBy(task).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    begun = F.min(F.when(F.col(op) == "register", F.struct(seq, at, length))).over(before)
-    ended = F.max(F.when((F.col(op) == "deregister") & F.col("_begun").isNotNull(), 1)).over(before)
-    rows = log.withColumn("_begun", begun).withColumn("_ended", F.coalesce(ended, F.lit(0)))
+    A task's first registration alone begins a lease; at is in seconds. Both are minima
+    that are joined back, so that no task's log is gathered."""
+    begun = log.filter(F.col(op) == "register").groupBy(task).agg(F.min(F.struct(seq, at, length)).alias("_begun"))
+    met = log.join(begun, task, "left")
+    ended = met.filter((F.col(op) == "deregister") & (F.col(seq) > F.col("_begun")[seq])).groupBy(task).agg(F.min(seq).alias("_ended"))
+    rows = met.join(ended, task, "left")
+    unknown = F.col("_begun").isNull() | (F.col(seq) < F.col("_begun")[seq])
     expired = F.col(at) - F.col("_begun")[at] > F.col("_begun")[length] + GRACE_S
-    register = F.when(F.col("_begun").isNull(), 0).otherwise(1)
-    deregister = F.when(F.col("_begun").isNull(), 2).when((F.col("_ended") == 1) | expired, 1).otherwise(0)
+    register = F.when(F.col(seq) > F.col("_begun")[seq], 1).otherwise(0)
+    deregister = F.when(unknown, 2).when(F.coalesce(F.col("_ended") < F.col(seq), F.lit(False)) | expired, 1).otherwise(0)
     return rows.withColumn("code", F.when(F.col(op) == "register", register).when(F.col(op) == "deregister", deregister)).drop("_begun", "_ended")
 
 
@@ -67,6 +63,7 @@ def stream_first_launches(stream: DataFrame, keys: list[str], at: str, within: s
 def stream_leases(stream: DataFrame) -> DataFrame:
     """(task_id, seq, code) of a stream of (task_id, seq, op, t, lease_s); the state of
     a task is its first registration and whether it has ended."""
+    ship(stream.sparkSession)
 
     def run(key, parts, state: GroupState):
         start, lease, ended = state.get if state.exists else (None, None, False)
@@ -87,21 +84,61 @@ def stream_leases(stream: DataFrame) -> DataFrame:
     return stream.groupBy("task_id").applyInPandasWithState(run, "task_id long, seq long, code int", "start double, lease double, ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def gradient_sink(stream: DataFrame, weights: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
-    """Applies a stream of (idx, g) to weights (idx, w, h), a micro-batch at a time,
-    until the stream's present input is used up; returns the weights. Each batch
-    writes a version in the shared folder: a batch that is run again replaces its
-    own."""
-    spark = weights.sparkSession
-    folder = folder or f"{checkpoint_dir(spark)}/sink-{uuid.uuid4().hex}"
-    weights.write.parquet(f"{folder}/version=-1")
-    last = [-1]
+def newest_version(spark: SparkSession, folder: str) -> int | None:
+    """The newest version that is whole in a folder of versions; None without any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [f.getPath().getParent().getName() for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")) or []]
+    return max((int(name.split("=")[1]) for name in done), default=None)
+
+
+def sink(stream: DataFrame, model: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
+    """Applies a stream of changes to a model, a micro-batch at a time, until the stream's
+    present input is used up; returns the model. Each batch writes a version in the
+    folder, one that is run again replaces its own; a sink that is started anew on its
+    folder goes on from its newest version and the stream's own log."""
+    spark = model.sparkSession
+    folder = folder or scratch(spark, "sink")
+    if newest_version(spark, folder) is None:
+        model.write.mode("overwrite").parquet(f"{folder}/version=-1")
 
     def apply(batch: DataFrame, number: int) -> None:
         now = spark.read.parquet(f"{folder}/version={number - 1}")
-        step(now, batch.groupBy("idx").agg(F.sum("g").alias("g"))).write.mode("overwrite").parquet(f"{folder}/version={number}")
-        last[0] = number
+        step(now, batch).write.mode("overwrite").parquet(f"{folder}/version={number}")
+
+    stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return snapshot(spark, folder)
+
+
+def snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest whole version of a sink's model, also while the sink runs."""
+    return spark.read.parquet(f"{folder}/version={newest_version(spark, folder)}")
+
+
+def gradient_sink(stream: DataFrame, weights: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
+    """sink() of a stream of gradients (idx, g) into weights (idx, w, h)."""
+    return sink(stream, weights, lambda now, batch: step(now, batch.groupBy("idx").agg(F.sum("g").alias("g"))), folder)
+
+
+def factor_sink(stream: DataFrame, factors: DataFrame, folder: str | None = None) -> DataFrame:
+    """sink() of a stream of factor changes (side, id, bias, f) into factors of the same
+    columns: users and items in one table. Changes are added as they are."""
+
+    def step(now: DataFrame, batch: DataFrame) -> DataFrame:
+        flat = lambda df: df.select("side", "id", F.posexplode(F.concat(F.array("bias"), "f")).alias("place", "v"))
+        summed = flat(now).join(flat(batch).groupBy("side", "id", "place").agg(F.sum("v").alias("d")), ["side", "id", "place"], "left")
+        rows = summed.groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("place", (F.col("v") + F.coalesce("d", F.lit(0.0))).alias("v")))).alias("x"))  # a factor's places
+        return rows.select("side", "id", F.col("x.v")[0].alias("bias"), F.slice("x.v", 2, F.size("x") - 1).alias("f"))
+
+    return sink(stream, factors, step, folder)
+
 
-    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{folder}/version={last[0]}")
+def fleet(codes: DataFrame, wanted: int, at: float, task: str = "task_id", seq: str = "seq", op: str = "op", t: str = "t", length: str = "lease_s") -> DataFrame:
+    """One row: the tasks whose lease stands at a time, and how many are to be started so
+    that there are `wanted`; of a log with codes."""
+    known = codes.filter(F.col(t) <= at).groupBy(task).agg(
+        F.min(F.when(F.col(op) == "register", F.struct(seq, t, length))).alias("begun"),
+        F.max(F.when((F.col(op) == "deregister") & (F.col("code") == 0), 1)).alias("ended"),
+    )
+    stands = F.col("begun").isNotNull() & F.col("ended").isNull() & (F.lit(at) - F.col("begun")[t] <= F.col("begun")[length] + GRACE_S)
+    return known.agg(F.count_if(stands).alias("running")).select("running", F.greatest(F.lit(wanted) - F.col("running"), F.lit(0)).alias("to_start"))

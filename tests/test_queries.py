@@ -8,8 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from gradmill.plans.catalogue import QUERIES
-from gradmill.plans.oracles import ORACLES
+from gradmill.plans import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
