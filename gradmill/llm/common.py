@@ -1,69 +1,42 @@
-"""Shared pieces of the training-data operators.
-
-Everything that outlives one job (checkpoints, written tables) goes to the
-folder that the cluster names in ``spark.checkpoint.dir``; only where that is
-unset (tests on one machine) is a temporary folder made.
-"""
+"""Shared pieces of the training-data operators. What outlives one job (written tables)
+goes to the shared folder, see gradmill.runtime."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each Spark application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    to = os.path.join(tempfile.mkdtemp(), "gradmill_llm.zip")
-    with zipfile.ZipFile(to, "w") as z:
-        for folder in (root, os.path.join(root, "llm")):
-            for name in sorted(os.listdir(folder)):
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
-    sc.addPyFile(to)
-    _shipped.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="gradmill-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+from gradmill.runtime import materialise, scratch, shared_dir, ship
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and
-    a lost executor costs no recomputation of what stands before."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "scratch", "shared_dir", "ship", "whole_text", "drawn_ids", "flags", "slices", "text_offsets", "text_bytes"]
 
 
 def whole_text(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+def drawn_ids(known: DataFrame, sample: int, seed: int) -> DataFrame:
+    """At most `sample` rows of known (doc_id and label), one a doc_id, the first by a
+    hash of it; rows with nulls are left out. Hashes beyond what is surely enough are
+    cut off first, so that not every task sends `sample` rows."""
+    known = known.dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
+    size, h = known.count(), F.xxhash64("doc_id", F.lit(seed))
+    if size > sample:
+        share = min((sample + 8 * sample**0.5 + 50) / size, 1.0)
+        known = known.filter(h < int((share - 0.5) * 2**64) if share < 1 else F.lit(True))
+    return known.orderBy(h, "doc_id").limit(sample)
+
+
+def flags(positions: Column, total: Column, width: int = 1) -> Column:
+    """An array of `total` strings, "1" where a place (from 0) is within `width` of one of
+    the positions (an array of distinct numbers) and "0" elsewhere. Time and memory are
+    in proportion to both."""
+    at = F.array_sort(positions)
+    after = F.concat(F.slice(at, 2, F.size(at)), F.array(total.cast("int")))
+    mark = lambda a, b: F.concat(F.repeat(F.lit("1"), F.least(F.lit(width), b - a)), F.repeat(F.lit("0"), F.greatest(b - a - width, F.lit(0))))
+    said = F.concat(F.repeat(F.lit("0"), F.get(at, F.lit(0))), F.array_join(F.zip_with(at, after, mark), ""))
+    return F.when(F.size(at) > 0, F.split(said, "")).otherwise(F.array_repeat(F.lit("0"), total.cast("int")))
 
 
 def slices(batches, target: int = 1 << 20, column: str = "text"):

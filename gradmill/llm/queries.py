@@ -31,7 +31,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", F.expr("make_valid_utf8(cast(kept as string))").alias("text"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

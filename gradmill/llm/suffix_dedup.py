@@ -23,6 +23,9 @@ refined from coarse to fine, and only suffixes that can still have a partner go
     around the core, which is all that can differ.
 
 Equal fingerprints (two 64-bit hashes) are taken as equal bytes.
+
+Many passages that repeat are shorter than that in bytes. passages() counts the words in
+runs of over 50 words that another document has too, by the same anchors over words.
 """
 
 from __future__ import annotations
@@ -36,25 +39,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradmill.llm.common import materialise, ship, slices, text_bytes, whole_text
-from gradmill.llm.textarrays import mix, powers
+from gradmill.llm.textarrays import Texts, mix, powers
 
 LENGTH, GRAM, BLOCK = 400, 64, 16
+#: Words of a passage, and of the strings that anchor it.
+WORDS, WORD_GRAM = 51, 8
 _TABLES = [np.random.default_rng(seed).integers(0, 1 << 63, 256, np.uint64) for seed in (1, 2)]
 
 
 class Prints:
-    """64-bit fingerprints of any spans of data, by prefix sums of random bytes
-    times powers of an odd number."""
+    """64-bit fingerprints of any spans of a sequence, by prefix sums of its elements'
+    random values times powers of an odd number."""
 
-    def __init__(self, data: np.ndarray, table: int):
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLES[table][data] * up[:-1])))
+    def __init__(self, values: np.ndarray):
+        up, self.down = powers(len(values) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[:-1])))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
         return mix(mix(h) + (ends - starts).astype(np.uint64)).view(np.int64)
 
 
+def byte_prints(data: np.ndarray, table: int) -> Prints:
+    return Prints(_TABLES[table][data])
+
+
+def word_prints(t: Texts) -> tuple[Prints, Prints]:
+    h = t.word_hashes()
+    return Prints(h), Prints(mix(h ^ _TABLES[1][0]))
+
+
 def sliding_argmin(v: np.ndarray, width: int) -> np.ndarray:
     """The first place of the smallest value of each window of v."""
     at, done = np.arange(len(v), dtype=np.int32), 1
@@ -65,13 +79,14 @@ def sliding_argmin(v: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def anchors(one: Prints, two: Prints, at: np.ndarray, length: int, gram: int):
     """(document, first window, windows, anchor position, gram print, context print)
-    of the runs of windows with one anchor, over all documents in data."""
-    if len(data) < length:
+    of the runs of windows with one anchor, over all documents of a sequence; at: where
+    each begins, with the end."""
+    total = int(at[-1])
+    if total < length:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    one, two = Prints(data, 0), Prints(data, 1)
-    g = np.arange(len(data) - gram + 1)
+    g = np.arange(total - gram + 1)
     grams = one(g, g + gram)
     spot = sliding_argmin(grams, length - gram + 1)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(spot)]
@@ -94,7 +109,7 @@ def blocks(data: np.ndarray, first: np.ndarray, count: np.ndarray, spot: np.ndar
     low, high = np.maximum(near[run], q * size), np.minimum(far[run], q * size + size - 1)
     begin = spot[run] - q * size
     end = begin - size + 1 + length
-    one, two = Prints(data, 0)(begin, end), Prints(data, 1)(begin, end) ^ q
+    one, two = byte_prints(data, 0)(begin, end), byte_prints(data, 1)(begin, end) ^ q
     span = np.arange(16)
     put = lambda a, b: _pack(np.where(span < (b - a)[:, None], data[np.minimum(a[:, None] + span, len(data) - 1)], 0).astype(np.uint8))
     return run, low, high, one, two, *put(spot[run] - high, begin), *put(end, spot[run] - low + length)
@@ -194,7 +209,7 @@ def repeats(keyed: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
     def find(batches):
         for batch in slices(batches):
             data, at = text_bytes(batch.column(2))
-            doc, first, count, spot, g, c = anchors(data, at, length)
+            doc, first, count, spot, g, c = anchors(byte_prints(data, 0), byte_prints(data, 1), at, length, GRAM)
             base, ids = at[doc], pa.array(doc)
             cols = [batch.column(0).take(ids), batch.column(1).take(ids), pa.array((first - base).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array((spot - base).astype(np.int32)), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, names=["d", "th", "first", "count", "spot", "g", "c"])
@@ -236,9 +251,63 @@ def repeats(keyed: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
     return spans.unionByName(last.filter(hit).select("d", "th", (F.col("spot") - F.col("i")).alias("begin"), (F.col("spot") - F.col("i") + length).alias("end")))
 
 
+def passages(keyed: DataFrame, words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
+    """d, th, n_passage_words: how many words of a text are in strings of `words` words
+    that another text or doc_id has too, of rows as in repeats(). Texts without such
+    words have no row; rows that repeat d and th are one text.
+
+    Windows with one anchor are a row, as above. Anchors of one text end there; contexts
+    that two texts have are passages as a whole. Of the other contexts of an anchor, and
+    of one of each that is shared, single windows are compared."""
+    ship(keyed.sparkSession)
+
+    def find(batches):
+        for batch in slices(batches):
+            t = Texts(*text_bytes(batch.column(2)))
+            doc, first, count, _, g, c = anchors(*word_prints(t), t.word_at, words, gram)
+            base, ids = t.word_at[doc], pa.array(doc)
+            cols = [batch.column(0).take(ids), batch.column(1).take(ids), pa.array((first - base).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["d", "th", "first", "count", "g", "c"])
+
+    def single(batches):
+        for batch in slices(batches):
+            t = Texts(*text_bytes(batch.column(2)))
+            one, two = word_prints(t)
+            of = batch.column(3)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(of.offsets)))
+            flat = of.flatten()
+            first, count = (np.asarray(flat.field(k)).astype(np.int64) for k in range(2))
+            again = np.repeat(np.arange(len(doc)), count)
+            i = first[again] + np.arange(len(again)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
+            at = i + t.word_at[doc[again]]
+            shared = np.asarray(flat.field(2))[again] if len(doc) else np.zeros(0, bool)
+            cols = [batch.column(0).take(pa.array(doc[again])), batch.column(1).take(pa.array(doc[again])), pa.array(i.astype(np.int32)), pa.array(one(at, at + words)), pa.array(two(at, at + words)), pa.array(shared)]
+            yield pa.RecordBatch.from_arrays(cols, names=["d", "th", "i", "k1", "k2", "shared"])
+
+    text = keyed.dropDuplicates(["d", "th"]).select("d", "th", "text")
+    runs = materialise(keyed.select("d", "th", "text").mapInArrow(find, "d long, th long, first int, count int, g long, c long"), "runs")
+    ends = [F.min(F.struct("d", "th")).alias("low"), F.max(F.struct("d", "th")).alias("high")]
+    met = runs.groupBy("g").agg(*ends, (F.min("c") < F.max("c")).alias("mixed")).filter("low < high").select("g", "mixed")
+    runs = materialise(runs.join(met, "g"), "met")
+    same = runs.groupBy("g", "c").agg(*ends, F.min(F.struct("d", "th", "first", "count")).alias("own"), F.first("mixed").alias("mixed"))
+    same = materialise(same.filter("low < high").select("g", "c", "own", "mixed"), "same")
+    spans = runs.join(same.select("g", "c"), ["g", "c"]).select("d", "th", F.col("first").alias("begin"), (F.col("first") + F.col("count") - 1 + words).alias("end"))
+    apart = runs.filter("mixed").join(same, ["g", "c"], "left_anti").select("d", "th", "first", "count", F.lit(False).alias("shared"))
+    apart = apart.unionByName(same.filter("mixed").select("own.*", F.lit(True).alias("shared")))
+    listed = apart.groupBy("d", "th").agg(F.collect_set(F.struct("first", "count", "shared")).alias("runs"))  # of one text
+    alone = text.join(listed, ["d", "th"]).select("d", "th", "text", "runs").mapInArrow(single, "d long, th long, i int, k1 long, k2 long, shared boolean")
+    alone = materialise(alone, "windows")
+    again = alone.groupBy("k1", "k2").agg(*ends, F.max("shared").alias("any")).filter("low < high or any").select("k1", "k2")
+    spans = spans.unionByName(alone.filter("not shared").join(again, ["k1", "k2"]).select("d", "th", F.col("i").alias("begin"), (F.col("i") + words).alias("end")))
+    begun = F.struct(F.lit(0).alias("total"), F.lit(0).alias("upto"))
+    cover = lambda acc, x: F.struct((acc["total"] + F.greatest(x["end"] - F.greatest(x["begin"], acc["upto"]), F.lit(0))).alias("total"), F.greatest(acc["upto"], x["end"]).alias("upto"))
+    found = spans.groupBy("d", "th").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))  # of one text
+    return found.select("d", "th", F.aggregate("spans", begun, cover)["total"].cast("long").alias("n_passage_words"))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes;
-    not always whole UTF-8) of every document. A null text is empty; matches never
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; not
+    always whole UTF-8) and n_passage_words (see passages()) of every document. A null text is empty; matches never
     reach over documents, texts under `length` bytes lose nothing. Rows of equal
     doc_id are documents of their own; repeated rows are copies of each other. With
     keep_first the first copy of a string (by doc_id, then place) stays."""
@@ -247,6 +316,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     text = whole_text()
     keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumns({"d": F.coalesce("doc_id", F.lit(-(1 << 63))), "th": F.xxhash64("text")})
     spans = repeats(keyed, length, keep_first).groupBy("d", "th").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # of one text
+    shared = passages(keyed)
 
     def cut(batches):
         for batch in slices(batches, 8 << 20):
@@ -270,8 +340,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
                     kept = own.tobytes()
                 out.append((len(own), n, spans_, hashlib.sha256(kept).hexdigest(), kept))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), kinds)), batch.column(3)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "n_passage_words"])
 
     none = F.array().cast("array<struct<begin:int,end:int>>")
-    rows = keyed.join(spans, ["d", "th"], "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows = keyed.join(spans, ["d", "th"], "left").join(shared, ["d", "th"], "left")
+    rows = rows.select("doc_id", "text", F.coalesce("spans", none).alias("spans"), F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words"))
+    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, n_passage_words long")
