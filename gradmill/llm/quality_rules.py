@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradmill.llm.common import materialise, ship, slices, text_bytes, whole_text
+from gradmill.llm.common import drawn_ids, materialise, ship, slices, text_bytes, whole_text
 from gradmill.llm.textarrays import Texts, mix, repeated
 
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -147,10 +147,11 @@ def grow(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, depth:
 def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """doc_id, the base counts, base_failed, quality (the trees' probability) and
     kept of every document. A null text is empty (no words: it fails the base
-    rules); rows of equal doc_id are each judged. `labels` has doc_id and quality;
-    rows with a null in either are left out. The trees learn from at most `sample`
-    labelled rows, the first by a hash of doc_id; with no labelled row they keep
-    what the base rules keep. One pass reads the texts."""
+    rules); rows of equal doc_id are each judged; an empty table has no rows. `labels`
+    has doc_id and quality; rows with a null in either are left out, and of rows that
+    repeat a doc_id one counts. The trees learn from at most `sample` labelled rows, the
+    first by a hash of doc_id; with no labelled row they keep what the base rules keep.
+    One pass reads the texts."""
     spark = docs.sparkSession
     ship(spark)
 
@@ -162,10 +163,11 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
 
     found = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(measure, f"doc_id long, {_BASE}, stats array<float>")
     found = materialise(found, "statistics")
-    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("double")).dropna()
-    drawn = found.join(known, "doc_id").select("stats", "quality", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample).toPandas()
+    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("label"))
+    picked = F.broadcast(drawn_ids(known, sample, 9))  # `sample` rows at most
+    drawn = found.join(picked, "doc_id").groupBy("doc_id").agg(F.min(F.struct("stats", "label")).alias("own")).select("doc_id", "own.*").toPandas().sort_values("doc_id")
     x = np.array(drawn["stats"].tolist(), np.float32).reshape(-1, len(STATISTICS))
-    model = spark.sparkContext.broadcast(grow(x, drawn["quality"].to_numpy(float), [s for _, s in STATISTICS]))
+    model = spark.sparkContext.broadcast(grow(x, drawn["label"].to_numpy(float), [s for _, s in STATISTICS]))
 
     def score(parts):
         for pdf in parts:
