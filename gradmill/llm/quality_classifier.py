@@ -14,31 +14,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradmill.llm.common import ship, slices, text_bytes, whole_text
+from gradmill.llm.common import drawn_ids, ship, slices, text_bytes, whole_text
 from gradmill.llm.textarrays import Texts
 
 BITS = 18
 NGRAMS = (3, 4)
-_FACTORS = {3: 0x9E3779B1, 4: 0x85EBCA77}
 
 
 def features(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(row of the table, document) of every word and n-gram of every document."""
+    """(row of the table, document) of every word and n-gram of characters (code
+    points) of every document."""
     t = Texts(data, at)
     ids = [(t.word_hashes() >> np.uint64(64 - bits)).astype(np.int32)]
     docs = [t.doc_of_words()]
-    of = np.repeat(np.arange(t.docs, dtype=np.int32), np.diff(at))
-    wide = data.astype(np.uint32)
+    starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of characters, with the end
+    of = np.searchsorted(at, starts[:-1], "right") - 1
     for n in NGRAMS:
-        if len(data) < n:
-            continue
-        key = wide[: len(wide) - n + 1].copy()
-        for k in range(1, n):
-            key |= wide[k : len(wide) - n + 1 + k] << np.uint32(8 * k)
-        key = (key * np.uint32(_FACTORS[n])) >> np.uint32(32 - bits)
-        inside = of[: len(key)] == of[n - 1 :]
-        ids.append(key[inside].astype(np.int32))
-        docs.append(of[: len(key)][inside])
+        if len(of) >= n:
+            inside = np.flatnonzero(of[: len(of) - n + 1] == of[n - 1 :])
+            ids.append((t.hashes(starts[inside], starts[inside + n]) >> np.uint64(64 - bits)).astype(np.int32))
+            docs.append(of[inside])
     return np.concatenate(ids), np.concatenate(docs)
 
 
@@ -92,17 +87,21 @@ def train(texts: list[str], y: np.ndarray, dim: int = 8, epochs: int = 8, rate:
             bias -= now * p.mean(axis=0)
             # a feature's step is scaled by its document's number of features, or long documents would not move it
             many = np.array([len(bags[k][0]) for k in mine], np.float32)[at][:, None]
-            np.add.at(table, rows, -now * 0.1 * np.minimum(weight * many, 4) * back[at])
+            push = -now * 0.1 * np.minimum(weight * many, 4) * back[at]
+            distinct, place = np.unique(rows, return_inverse=True)
+            for d in range(dim):
+                table[distinct, d] += np.bincount(place, push[:, d], len(distinct)).astype(np.float32)
     return Classifier((table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def drawn_rows(docs: DataFrame, known: DataFrame, sample: int, longest: int) -> DataFrame:
-    """text and label of at most `sample` labelled rows, the first by a hash of
-    doc_id, none of over `longest` characters: that bounds what the driver gets.
-    The ids are drawn first, so only their texts move."""
-    picked = known.dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample)
+def drawn_rows(docs: DataFrame, known: DataFrame, sample: int, longest: int, seed: int = 11) -> DataFrame:
+    """doc_id, text and label of at most `sample` labelled rows, the first by a hash of
+    doc_id, none of over `longest` characters: that bounds what the driver gets. The ids
+    are drawn first, so only their texts move; of texts under one doc_id the smallest
+    is taken, however many there are."""
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).filter(F.length("text") <= longest)
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")  # `sample` rows at most
+    met = texts.join(F.broadcast(drawn_ids(known, sample, seed)), "doc_id")  # `sample` rows at most
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 6_000, longest: int = 50_000) -> DataFrame:
@@ -111,7 +110,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 6_000, longest: i
     characters each; scoring takes whole texts of any length) that are not held
     out; rows with a null label or doc_id are left out of the training. Null texts
     are empty, and empty texts score the learnt prior. A null doc_id is not held
-    out; rows of equal doc_id are each scored."""
+    out; rows of equal doc_id are each scored, and learnt from once; an empty table has
+    no rows. labels that are empty or all alike give every row their share."""
     spark = docs.sparkSession
     ship(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradmill.llm.common import ship, slices, text_bytes, whole_text
+from gradmill.llm.quality_classifier import drawn_rows
 from gradmill.llm.textarrays import Texts
 
 ORDER, DECAY = 4, 0.7
@@ -163,10 +164,11 @@ def parts(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         single = ends - starts == 1
         joins = single[1:] & single[:-1] & (docs[1:] == docs[:-1])
         starts, docs, ends = starts[np.concatenate(([True], ~joins))], docs[np.concatenate(([True], ~joins))], ends[np.concatenate((~joins, [True]))]
-        mark = _MARKS[t.data]
-        for _ in range(4):
-            starts = starts + (mark[starts] & (ends - starts > 1))
-            ends = ends - (mark[ends - 1] & (ends - starts > 1))
+        place, mark = np.arange(len(t.data)), _MARKS[t.data]
+        after = np.minimum.accumulate(np.where(mark, len(t.data), place)[::-1])[::-1]  # the next byte that is no mark
+        before = np.maximum.accumulate(np.where(mark, -1, place))
+        bare = after[starts] >= ends  # a word of marks keeps its first
+        starts, ends = np.where(bare, starts, np.minimum(after[starts], ends - 1)), np.where(bare, starts + 1, before[ends - 1] + 1)
         extra = np.maximum(-(-(ends - starts - PART) // (PART // 2)), 0)
         again = np.repeat(np.arange(len(starts)), extra + 1)
         k = np.arange(len(again)) - np.repeat(np.concatenate(([0], np.cumsum(extra + 1)[:-1])), extra + 1)
@@ -317,20 +319,19 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 1_200, longest: int = 10_000) -> Machine:
     """A machine from at most `sample` toxic rows and three times as many others (the
     first by a hash of doc_id, none of over `longest` characters) among labels
-    (doc_id, toxic)."""
-    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
-    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).filter(F.length("text") <= longest)
-    drawn = []
-    for side in (1, 0):
-        picked = known.filter(F.col("label") == side).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample if side else 3 * sample)
-        drawn.append(texts.join(F.broadcast(picked), "doc_id").toPandas())  # so many rows at most
-    rows = pd.concat(drawn).sort_values(["doc_id", "text"])
+    (doc_id, toxic). Rows with nulls are left out, a doc_id is learnt from once, by its
+    smallest text. Without rows of both labels the machine gives every text the share of
+    label 1 (0.01 without any row)."""
+    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label"))
+    drawn = [drawn_rows(docs, known.filter(F.col("label") == side), n, longest, 5).toPandas() for side, n in ((1, sample), (0, 3 * sample))]
+    rows = pd.concat(drawn).drop_duplicates("doc_id").sort_values(["doc_id", "text"])
     return train(rows["text"].tolist(), rows["label"].to_numpy(float))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """All columns of docs with toxicity, the probability of label 1, over whole
-    texts of any length; null and empty texts get that of no word at all."""
+    """All columns of docs with toxicity (toxicity_ where that is a column, and so on),
+    the probability of label 1, over whole texts of any length; null and empty texts get
+    that of no word at all; an empty table has no rows."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(machine)
@@ -351,7 +352,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 1_200, longest: int = 10_000) -> DataFrame:
     """doc_id, held_out, score and predicted of every document. Labels of held-out
     rows are never learnt; a null doc_id is not held out, rows of equal doc_id are
-    each scored."""
+    each scored, null texts are empty; an empty table has no rows."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     machine = learn(docs, labels.filter(~held), sample, longest)
     scored = score(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")), machine)
