@@ -8,10 +8,13 @@ partition for that. Hits of a hash are verified against the words themselves.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradmill.llm.common import materialise, whole_text
+from gradmill.llm.common import flags, materialise, whole_text
 
 WINDOW = 10
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -66,11 +69,30 @@ def _positions(name: str, hashes: list[int], n: int) -> Column:
     return F.expr(f"filter(transform({name}, (x, i) -> if(x IN ({among}), named_struct('at', i + 1, 'n', {n}), null)), y -> y is not null)")
 
 
+def _bit_table(hashes: DataFrame) -> Callable[[Column], Column]:
+    """Whether a hash may be among those of a table: by a table of 16 bits a hash (two
+    megabytes at most) that goes with the plan. It keeps nearly all windows of documents
+    out of the join."""
+    bits = min(max((16 * hashes.count()).bit_length(), 12), 24)
+    low = lambda h: F.shiftrightunsigned(h, 64 - bits)
+    place = lambda h: F.shiftright(low(h), 6).cast("int")
+    bit = lambda h: low(h).bitwiseAND(F.lit(63).cast("long")).cast("int")
+    one = F.expr("1L")
+    words = hashes.groupBy(place(F.col("hash")).alias("at")).agg(F.bit_or(F.call_function("shiftleft", one, bit(F.col("hash")))).alias("word"))
+    put = [0] * (1 << (bits - 6))
+    for r in words.collect():  # 2 ** (bits - 6) rows at most
+        put[r["at"]] = r["word"]
+    table = F.from_json(F.lit(json.dumps(put)), "array<bigint>")  # a constant, folded once
+    return lambda h: F.getbit(F.get(table, place(h)), bit(h)) == 1
+
+
 def _joined_positions(rows: DataFrame, names: dict[int, str], keyed: dict[int, DataFrame]) -> DataFrame:
     """As _positions, by joins of hashes; row numbers repeat as the scan does."""
     found = None
     for n, name in names.items():
-        one = rows.select("row", F.posexplode(name).alias("at", "hash")).join(keyed[n], "hash").select("row", F.struct((F.col("at") + 1).alias("at"), F.lit(n).alias("n")).alias("hit"))
+        known = _bit_table(keyed[n])
+        pairs = F.filter(F.transform(name, lambda x, i: F.struct((i + 1).alias("at"), x.alias("hash"))), lambda p: known(p["hash"]))
+        one = rows.select("row", F.explode(pairs).alias("p")).select("row", "p.*").join(keyed[n], "hash").select("row", F.struct("at", F.lit(n).alias("n")).alias("hit"))
         found = one if found is None else found.unionByName(one)
     hits = found.groupBy("row").agg(F.collect_list("hit").alias("hits"))
     return rows.join(hits, "row", "left")
@@ -82,10 +104,15 @@ def _cover(acc: Column, hit: Column) -> Column:
     return F.struct((acc["total"] + F.greatest(end - F.greatest(hit["at"], acc["upto"]), F.lit(0))).alias("total"), F.greatest(acc["upto"], end).alias("upto"))
 
 
-def _located(text: DataFrame, items: DataFrame, window: int, most: int) -> tuple[DataFrame, DataFrame, bool]:
-    """text (with a text column) with w, its words, and hits, where hashes of windows
-    of the items are in it; the windows; whether there are at most `most`."""
+def _located(text: DataFrame, items: DataFrame, window: int, most: int) -> tuple[DataFrame, DataFrame, bool, list[int]]:
+    """text (with row, a number, and a text column) with w, its words, and hits, where
+    hashes of windows of the items are in it; the windows; whether there are at most
+    `most` (of all items, so that they can be broadcast); their sizes. With more, rows
+    are numbered in a written table, as they are joined back by their numbers."""
     grams = materialise(benchmark_windows(items, window), "windows")
+    few = grams.count() <= most
+    if not few:
+        text = materialise(text, "numbered")
     sizes = sorted(r["n"] for r in grams.select("n").distinct().collect())  # at most `window` numbers
     fields = text.columns
     rows = text.withColumn("w", words(whole_text()))
@@ -105,27 +132,28 @@ def _located(text: DataFrame, items: DataFrame, window: int, most: int) -> tuple
         for name, expr in _doubled("h", n)[0]:
             one = one.withColumn(name, F.expr(expr))
         keyed[n] = one.select(F.element_at(names[n], 1).alias("hash")).distinct()
-    total = sum(keyed[n].count() for n in sizes)
     starts = F.array().cast("array<struct<at:int,n:int>>")
-    if total <= most:
+    if few:
         spans = [_positions(names[n], [r["hash"] for r in keyed[n].collect()], n) for n in sizes]
         rows = rows.withColumn("hits", F.concat(starts, *spans))
     else:
         rows = _joined_positions(rows, names, keyed)
-    return rows.select(*fields, "w", "hits"), grams, total <= most
+    return rows.select(*fields, "w", "hits"), grams, few, sizes
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = 20_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every
     document; docs may carry further columns, which are ignored. A null text has no
-    words. Rows of equal doc_id are each scanned. An empty benchmark hits nothing.
+    words. Rows of equal doc_id are each scanned. An empty benchmark hits nothing, an empty
+    table has no rows. Windows of items with a null item_id are hits, but name no item.
 
-    The hashes of the windows are put into the plan as one set where there are at
-    most `most` of them; a larger benchmark is joined as a table of
-    hashes to the exploded windows, which Spark shuffles if it is too large to
-    broadcast."""
+    The hashes of the windows are put into the plan as one set, and the windows are
+    broadcast, where there are at most `most` of them. The hashes of a larger benchmark
+    are joined as a table, to those windows of the documents that a small table of bits
+    lets pass."""
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    rows, grams, few = _located(text, items, window, most)
+    rows, grams, few, _ = _located(text, items, window, most)
+    grams = grams.withColumn("real", F.lit(True))
     # verify: the words at each hit have to be a window
     candidates = rows.select(
         "row",
@@ -137,7 +165,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = 20
     verified = candidates.join(hint(grams), ["n", "gram"], "left")
     per_item = verified.groupBy("row", "doc_id", "n_words").agg(
         F.collect_set("item_id").alias("items"),
-        F.array_sort(F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("at", "n")))).alias("hits"),
+        F.array_sort(F.collect_set(F.when(F.col("real"), F.struct("at", "n")))).alias("hits"),
     )
     n_hit = F.aggregate("hits", F.struct(F.lit(0).alias("total"), F.lit(0).alias("upto")), _cover, lambda acc: acc["total"])
     return per_item.select(
@@ -158,7 +186,7 @@ def remove_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: i
     The windows to verify against are put into the plan with at most `most` of them,
     else joined as in scan(), by a row number."""
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("text").alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows, grams, few = _located(own, items, window, most)
+    rows, grams, few, sizes = _located(own, items, window, most)
     if few:
         known = [r["gram"] for r in grams.select("gram").distinct().collect()]  # `most` at most
         real = F.filter("hits", lambda x: F.array_join(F.slice("w", x["at"], x["n"]), " ").isin(known)) if known else F.filter("hits", lambda x: F.lit(False))
@@ -167,14 +195,16 @@ def remove_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: i
         one = rows.select("row", F.explode(F.transform("hits", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), F.array_join(F.slice("w", x["at"], x["n"]), " ").alias("gram")))).alias("x")).select("row", "x.*")
         real = one.join(grams.select("n", "gram").distinct(), ["n", "gram"]).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("real"))
         rows = rows.join(real, "row", "left").withColumn("hits", F.coalesce("real", F.array().cast("array<struct<at:int,n:int>>"))).drop("real")
-    hit = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
     # words and what stands between them, in turn: text = gaps[0] w[0] gaps[1] w[1] ...
-    gaps = F.split("text", _WORD)
-    original = F.array_remove(F.split("text", _BREAK_ANY), "")
-    left = F.transform(original, lambda w, i: F.concat(F.when(F.array_contains("marked", i + 1), "").otherwise(w), F.element_at("gaps", i + 2)))
+    rows = rows.withColumn("gaps", F.split("text", _WORD)).withColumn("original", F.array_remove(F.split("text", _BREAK_ANY), ""))
+    marked = F.array_repeat(F.lit("0"), F.size("original"))
+    for n in sizes:
+        size = F.lit(n)
+        at = F.array_distinct(F.transform(F.filter("hits", lambda x: x["n"] == size), lambda x: x["at"] - 1))
+        marked = F.zip_with(marked, flags(at, F.size("original"), n), lambda a, b: F.greatest(a, b))
+    left = F.zip_with(F.zip_with("original", marked, lambda w, m: F.when(m == "1", "").otherwise(w)), F.slice("gaps", 2, F.greatest(F.size("original"), F.lit(1))), lambda w, g: F.concat(w, F.coalesce(g, F.lit(""))))
     cut = F.concat(F.element_at("gaps", 1), F.array_join(left, ""))
-    changed = rows.withColumn("marked", hit).withColumn("gaps", gaps)
-    out = changed.withColumn("text", F.when(F.size("hits") > 0, cut).otherwise(F.col("text")))
+    out = rows.withColumn("text", F.when(F.size("hits") > 0, cut).otherwise(F.col("text")))
     put = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         put["n_chars"] = F.when(F.size("hits") > 0, F.length("text").cast("long")).otherwise(F.col("own.n_chars"))
