@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradmill.llm.common import materialise, ship
+from gradmill.llm.common import flags, materialise, ship
 
 BLOCK_WORDS = 50
 
@@ -170,7 +170,8 @@ def dedup(docs: DataFrame, least_words: int = BLOCK_WORDS) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias(name + "_id"), F.col("part").alias(name + "_part"), F.col("gone").alias(name))
     out = docs.join(gone, (docs["doc_id"].cast("long") == gone[name + "_id"]) & (F.xxhash64(docs["text"]) == gone[name + "_part"]), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(name, i)), "\n")
+    marks = F.zip_with(parts, flags(F.col(name), F.size(parts)), lambda x, m: F.struct(x.alias("line"), m.alias("gone")))
+    kept = F.array_join(F.filter(marks, lambda x: x["gone"] == "0")["line"], "\n")
     return out.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"),

@@ -144,7 +144,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
 
 def packed_sequences(docs: DataFrame, placed: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """sequence_id and ids of every sequence, from rows of pack(). doc_id has to be
-    a key of docs. A group holds one sequence, `capacity` ids at most."""
+    a key of docs, null among them at most once. A group holds one sequence, `capacity` ids at most."""
     ship(docs.sparkSession)
 
     def encode(batches):
@@ -154,5 +154,6 @@ def packed_sequences(docs: DataFrame, placed: DataFrame, vocabulary: str | None
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     ids = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
-    rows = placed.join(ids, "doc_id").select("sequence_id", "offset", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("ids"))
+    ids = ids.withColumnRenamed("doc_id", "own_id")
+    rows = placed.join(ids, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("sequence_id", "offset", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("ids"))
     return rows.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))

@@ -103,7 +103,7 @@ def scan(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256 and spans (kind:start:end
     by start, then kind) of every document, over its whole text. A null text is
     empty: no spans, the hash of the empty string. Rows of equal doc_id are each
-    scanned. Map only: no shuffle."""
+    scanned; an empty table has no rows. Map only: no shuffle."""
     ship(docs.sparkSession)
 
     def run(batches):

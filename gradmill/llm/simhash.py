@@ -137,7 +137,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, most: int = 4096) -> DataFr
     those of all pairs within radius. A shard over `most` is dealt out by bands of
     the bits outside its own band, for which its members differ by at most radius
     too; what is still larger after two splits agrees on most bits and is searched
-    as it is."""
+    as it is. No fingerprints, no links."""
     whole = list(range(BITS))
     keyed = distinct.select("fp", F.posexplode(F.array(*[_band(F.col("fp"), b) for b in _bands(whole, radius + 1)])).alias("band", "value"))
     # a first count, combined before the shuffle, keeps out the many shards of one fingerprint
@@ -205,7 +205,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the smallest node that
     links reach. Alternates large-star and small-star contractions until nothing
     changes; minima are combined before the shuffle, each round is written to the
-    shared folder, and only a count and a sum come to the driver."""
+    shared folder, and only a count and a sum come to the driver. Edges with a null or
+    from a node to itself are left out; without edges there are no rows."""
     edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
     state = None
     while True:

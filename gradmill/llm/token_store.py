@@ -76,7 +76,8 @@ def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: in
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document of a store, all
     from its files. The running sum over all documents is one over the shards (a
-    row for each file), added to what each shard counts itself."""
+    row for each file), added to what each shard counts itself. An empty store has no
+    rows."""
 
     def crc(batches):
         for batch in batches:

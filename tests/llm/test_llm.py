@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradmill.llm import decontaminate, line_dedup, near_copies, packing, quality_classifier, quality_rules, queries, secret_scan, simhash, suffix_dedup, token_store, tokens, toxicity
+from gradmill.llm import common, decontaminate, line_dedup, near_copies, packing, quality_classifier, quality_rules, queries, secret_scan, simhash, suffix_dedup, token_store, tokens, toxicity
 
 DIR = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 997}" for i in range(30_000))
@@ -167,7 +167,7 @@ def test_secret_scan(spark, awkward, small, texts):
         assert got[doc]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert set(said.split(",")) <= {*got[doc]["spans"].split(","), ""}
     assert got[1002]["n_novel"] == 1 and got[1003]["n_novel"] == 0
-    assert secret_scan.scan(awkward).count() == len(ROWS)
+    assert secret_scan.scan(awkward).count() == len(ROWS) and secret_scan.scan(small.limit(0)).count() == 0
 
 
 def test_novel_secrets_of_all_kinds():
@@ -211,6 +211,35 @@ def test_suffix_dedup(spark, keep_first):
     assert got[len(rows)]["n_bytes"] == 0
 
 
+def test_passages(spark):
+    rng = random.Random(9)
+    run = lambda n: [rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(n)]
+    shared = [run(n) for n in (50, 51, 55, 70, 130)]
+    rows = []
+    for _ in range(30):
+        words = run(rng.randint(0, 90))
+        for _ in range(rng.randint(0, 2)):
+            p = rng.choice(shared)
+            words += p[rng.randint(0, 4) :] + run(rng.randint(0, 40))
+        rows.append((len(rows), " ".join(words)))
+    own = run(60)
+    rows += [(100, " ".join(own + own)), (101, None), (102, ""), (103, " ".join(["the"] * 200)), (104, "\n".join(["the"] * 70)), (105, " ".join(shared[4])), (105, " ".join(shared[4]))]
+    docs = spark.createDataFrame(rows, "d long, text string").repartition(4)
+    keyed = docs.select("d", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    got = {r["d"]: r["n_passage_words"] for r in suffix_dedup.passages(keyed).collect()}
+    where, texts = collections.defaultdict(set), {d: (t or "").split() for d, t in rows}
+    for d, w in texts.items():
+        for i in range(len(w) - 50):
+            where[tuple(w[i : i + 51])].add(d)
+    want = {}
+    for d, w in texts.items():
+        hit = {j for i in range(len(w) - 50) if len(where[tuple(w[i : i + 51])]) > 1 for j in range(i, i + 51)}
+        if hit:
+            want[d] = len(hit)
+    assert got == want and len(want) > 12 and 100 not in want
+    assert suffix_dedup.passages(keyed.limit(0)).count() == 0
+
+
 def test_suffix_dedup_awkward(awkward, small):
     got = suffix_dedup.remove_repeats(awkward).collect()
     assert len(got) == len(ROWS) and suffix_dedup.remove_repeats(small.limit(0)).count() == 0
@@ -297,6 +326,54 @@ def test_line_dedup_of_lines_from_different_documents(spark):
     assert got == dict(rows) | {4: "c", 12: tail + "\nd", 13: "e"}
 
 
+def test_line_dedup_links_against_all_pairs(spark):
+    """Blocks put together from stock lines: whatever two documents have in common in 50
+    words of consecutive lines is gone from all but the first of them."""
+    rng = random.Random(12)
+    stock = [" ".join(f"s{k}x{i}" for i in range(12)) for k in range(14)]
+    rows = [(k, line) for k, line in enumerate(stock[:6])]  # each line comes first in another document
+    rows += [(10, "\n".join(stock[:6])), (11, "\n".join(["own a", *stock[:6], "own b"]))]
+    for k in range(20, 60):
+        lines = [f"doc {k} line {i}" for i in range(3)]
+        at = rng.randint(0, 8)
+        lines[1:1] = stock[at : at + rng.randint(3, 6)]
+        rows.append((k, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup(df).collect()}
+    assert got[10] == stock[:6] and got[11] == ["own a", "own b"]
+    first: dict = {}
+    for d, text in rows:
+        lines = text.split("\n")
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run = tuple(lines[i:j])
+                if sum(len(x.split()) for x in run) >= 50:
+                    first.setdefault(run, d)
+                    if first[run] != d:  # an earlier document has it: no line of it stays
+                        assert not set(run) & set(got[d]), (d, run)
+    for d, text in rows:  # and nothing else goes
+        if d < 10:
+            assert got[d] == [text]
+
+
+def test_line_dedup_with_the_package_on_the_driver_only(tmp_path):
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from gradmill.llm import queries
+print("rows", queries.queries()["op6_line_dedup"](spark, {DIR!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "rows 200" in done.stdout, done.stderr[-2000:]
+
+
 def test_line_dedup_of_texts_under_one_doc_id(spark):
     block = "\n".join(" ".join(f"p{i}x{k}" for k in range(20)) for i in range(3))
     other = "\n".join(f"quite another line {k}" for k in range(6))
@@ -337,6 +414,12 @@ def test_decontamination_short_items(spark, awkward, most):
     out = {r["doc_id"]: r for r in decontaminate.remove_hits(awkward, items, most=most).collect()}
     assert out[1]["text"] == "The quick brown fox, the  .\nA second line here." and out[2]["text"] is None and len(out[7]["text"]) == len(LONG)
     assert decontaminate.scan(awkward, items.limit(0), most=most).filter("contaminated").count() == 0
+    unnamed = spark.createDataFrame([(None, "LAZY dog")], items.schema)
+    assert [(r["doc_id"], r["n_hit"], r["n_items"]) for r in decontaminate.scan(awkward, unnamed, most=most).filter("contaminated").collect()] == [(1, 2, 0)]
+    mixed = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(50, 75))), (2, "w60 w61"), (3, "w80 w81")], items.schema)
+    cut = [r["text"] for r in decontaminate.remove_hits(awkward, mixed, most=most).filter("doc_id = 7").collect()]
+    again = " ".join("" if 50 <= i % 997 < 75 or i % 997 in (80, 81) else f"w{i % 997}" for i in range(30_000))
+    assert cut == [again]
 
 
 def brute_components(fps, radius):
@@ -438,8 +521,44 @@ def test_quality_classifier(spark, awkward):
     assert (got["held_out"] == [zlib.crc32(str(k).encode()) % 3 == 1 for k in got["doc_id"]]).all()
     held = got[got["held_out"]]
     assert (held["predicted"] == held["quality"]).mean() >= 0.88
-    out = quality_classifier.classify(awkward, labels.limit(0)).collect()
-    assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 for r in out)
+    for d, lab in ((awkward, labels.limit(0)), (awkward, labels), (awkward.limit(0), labels)):
+        out = quality_classifier.classify(d, lab).collect()
+        assert len(out) == d.count() and all(0 <= r["score"] <= 1 for r in out)
+
+
+def test_subwords_are_of_characters():
+    raw = "aé中b".encode()
+    ids, docs = quality_classifier.features(np.frombuffer(raw + raw, np.uint8), np.array([0, len(raw), 2 * len(raw)]))
+    assert len(ids) == 2 * (1 + 2 + 1) and sorted(ids[docs == 0]) == sorted(ids[docs == 1])  # a word, two n-grams of 3 characters, one of 4
+
+
+def test_drawn_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k}") for k in range(4000)] + [(7, "a" * 30)] * 1000, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k % 40, float(k % 2)) for k in range(400)] + [(None, 1.0), (3, None)], "doc_id long, label double")
+    rows = quality_classifier.drawn_rows(docs, labels, 12, 20).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) == 12 and all(len(r["text"]) <= 20 for r in rows)
+    assert quality_classifier.drawn_rows(docs, labels, 100, 20).count() == 40
+    many = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1.0).alias("label"))
+    got = common.drawn_ids(many, 500, 3).collect()
+    want = many.orderBy(F.xxhash64("doc_id", F.lit(3))).limit(500).collect()
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in want} and len(got) == 500
+
+
+@pytest.mark.parametrize("width", [1, 3])
+def test_flags(spark, width):
+    rng = random.Random(width)
+    rows = []
+    for n in range(0, 30):
+        at = sorted(rng.sample(range(max(n - width + 1, 0)), rng.randint(0, max(n - width + 1, 0)) // 2)) if n >= width else []
+        rows.append((n, at[::-1]))
+    df = spark.createDataFrame(rows, "n int, at array<int>")
+    for r in df.select("n", "at", common.flags(F.col("at"), F.col("n"), width).alias("f")).collect():
+        want = ["1" if any(a <= i < a + width for a in r["at"]) else "0" for i in range(r["n"])]
+        assert (r["f"] or []) == want or (r["n"] == 0 and r["f"] == [""])
+
+
+def test_marks_around_words():
+    assert toxicity.word_set('((((((idiot!!!!!! ...... "so-so" a.b') == sorted([b"idiot", b"so-so", b"a.b"])
 
 
 def test_pipeline(spark, awkward, tmp_path):
