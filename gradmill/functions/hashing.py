@@ -1,9 +1,10 @@
 """The two Murmur3 hashes of the feature encoders.
 
-The 32-bit one (seed 42) is a column expression. Spark's own hash() differs from it
-for texts whose byte length is no multiple of four. The low half of the 128-bit one
-(seed 100) needs 64-bit products that wrap, which SQL arithmetic lacks: it is an Arrow
-function over numpy arrays, the texts of one byte length at a time.
+Spark's own hash() differs from the 32-bit one (seed 42) for texts whose byte length is
+no multiple of four, and products that wrap are not to be had in SQL arithmetic: both,
+also the low half of the 128-bit one (seed 100), are Arrow functions over numpy arrays,
+the texts of one byte length at a time. murmur3_32() is the first one as a column
+expression, exact but a hundred times as slow, for where there are no Python workers.
 """
 
 from __future__ import annotations
@@ -125,8 +126,26 @@ def _x64_rows(rows: np.ndarray, seed: int) -> np.ndarray:
     return _last64(h1) + _last64(h2 + h1)
 
 
-def x64_low_array(texts: pa.Array, seed: int = 100) -> np.ndarray:
-    """murmur3_x64_low of each text of a string array without nulls."""
+def _x32_rows(rows: np.ndarray, seed: int) -> np.ndarray:
+    """murmur3_32 of each row of bytes, unsigned."""
+    n, size = rows.shape
+    whole = size // 4
+    words = np.zeros((n, 4 * whole + 4), np.uint8)
+    words[:, :size] = rows
+    words = words.view("<u4")
+    left = lambda x, k: (x << np.uint32(k)) | (x >> np.uint32(32 - k))
+    scrambled = lambda k: left(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = np.full(n, seed, np.uint32)
+    for at in range(whole):
+        h = left(h ^ scrambled(words[:, at]), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h = h ^ scrambled(words[:, whole]) ^ np.uint32(size)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
+def _by_length(texts: pa.Array, rows: Callable[[np.ndarray, int], np.ndarray], seed: int) -> np.ndarray:
+    """rows() of the bytes of the texts of each length, for a string array without nulls."""
     texts = texts.cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -134,10 +153,20 @@ def x64_low_array(texts: pa.Array, seed: int = 100) -> np.ndarray:
     order = np.argsort(sizes, kind="stable")
     for mine in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
         if len(mine):
-            out[mine] = _x64_rows(data[ends[mine][:, None] + np.arange(sizes[mine[0]])], seed)
+            out[mine] = rows(data[ends[mine][:, None] + np.arange(sizes[mine[0]])], seed)
     return out
 
 
+def x64_low_array(texts: pa.Array, seed: int = 100) -> np.ndarray:
+    """murmur3_x64_low of each text of a string array without nulls."""
+    return _by_length(texts, _x64_rows, seed)
+
+
+def x32_array(texts: pa.Array, seed: int = 42) -> np.ndarray:
+    """murmur3_32 of each text of a string array without nulls."""
+    return _by_length(texts, _x32_rows, seed)
+
+
 def bucket_x64(text: Column, bits: int) -> Column:
     """murmur3_x64_low modulo 2 ** bits of each text; null for null."""
     ship()
@@ -150,21 +179,24 @@ def bucket_x64(text: Column, bits: int) -> Column:
     return run(text)
 
 
-def count_buckets(lists: pa.ListArray, bits: int, bias: bool = True) -> pa.ListArray:
-    """Of each list of tokens the buckets with their counts, by ascending bucket; with
-    bias also of the constant token. A null list has no tokens, a null token is an
-    empty one."""
+def _counted(lists: pa.ListArray, bucket: Callable[[pa.Array], np.ndarray], always: int | None = None) -> pa.ListArray:
+    """Of each list of tokens the buckets with their counts, by ascending bucket, and one
+    more of the bucket `always`. A null list has no tokens, a null token is an empty one."""
     ends = np.asarray(lists.offsets)
     flat = lists.values.slice(ends[0], ends[-1] - ends[0]).fill_null("")
-    row = np.repeat(np.arange(len(lists)), np.diff(ends))
-    mask = np.uint64((1 << bits) - 1)
-    idx = (x64_low_array(flat) & mask).astype(np.int64)
-    if bias:
-        row = np.concatenate((row, np.arange(len(lists))))
-        idx = np.concatenate((idx, np.full(len(lists), murmur3_x64_low(b"bias") & int(mask), np.int64)))
-    found, times = np.unique((row.astype(np.int64) << bits) + idx, return_counts=True)
-    pairs = pa.StructArray.from_arrays([pa.array(found & np.int64(mask)), pa.array(times.astype(float))], names=["idx", "val"])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(found >> bits, np.arange(len(lists) + 1)).astype(np.int32)), pairs)
+    row, idx = np.repeat(np.arange(len(lists)), np.diff(ends)), bucket(flat).astype(np.int64)
+    if always is not None:
+        row, idx = np.concatenate((row, np.arange(len(lists)))), np.concatenate((idx, np.full(len(lists), always, np.int64)))
+    found, times = np.unique((row.astype(np.int64) << 32) + idx, return_counts=True)  # buckets are under 2 ** 32
+    pairs = pa.StructArray.from_arrays([pa.array(found & 0xFFFFFFFF), pa.array(times.astype(float))], names=["idx", "val"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(found >> 32, np.arange(len(lists) + 1)).astype(np.int32)), pairs)
+
+
+def count_buckets(lists: pa.ListArray, bits: int, bias: bool = True) -> pa.ListArray:
+    """Counts of the tokens' murmur3_x64_low modulo 2 ** bits; with bias also of the
+    constant token."""
+    mask = (1 << bits) - 1
+    return _counted(lists, lambda flat: x64_low_array(flat) & np.uint64(mask), murmur3_x64_low(b"bias") & mask if bias else None)
 
 
 def hash_counts(tokens: Column, bits: int, bias: bool = True) -> Column:
@@ -176,3 +208,14 @@ def hash_counts(tokens: Column, bits: int, bias: bool = True) -> Column:
         return count_buckets(lists, bits, bias)
 
     return run(tokens)
+
+
+def hash_counts_32(tokens: Column, buckets: int) -> Column:
+    """Counts of the tokens' murmur3_32 modulo buckets: array of (idx, val)."""
+    ship()
+
+    @F.arrow_udf("array<struct<idx:bigint,val:double>>")
+    def run(lists: pa.Array) -> pa.Array:
+        return _counted(lists, lambda flat: x32_array(flat) % np.uint64(buckets))
+
+    return run(tokens)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradmill.functions.hashing import hash_counts, murmur3_32
+from gradmill.functions.hashing import hash_counts, hash_counts_32
 
 CONSTANT = 1e-4  # spreads and variances up to this count as none (a fixed value)
 
@@ -65,13 +65,12 @@ def standardize_by(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def hash_columns(df: DataFrame, key: str, hashed: dict[int, Column], kept: dict[int, Column], buckets: int) -> DataFrame:
     """Hashed columns become counts of hits of murmur3_32(text) mod buckets, without
-    the column's number; kept ones move to buckets + number."""
-    pairs = F.array(*[F.struct((murmur3_32(c.cast("string")) % buckets).cast("int").alias("idx"), F.lit(1.0).alias("val")) for c in hashed.values()])
-    hits = df.select(key, F.inline(pairs)).groupBy(key, "idx").agg(F.sum("val").alias("val"))
-    if not kept:
-        return hits
-    moved = F.array(*[F.struct(F.lit(buckets + i).alias("idx"), c.cast("double").alias("val")) for i, c in kept.items()])
-    return hits.unionByName(df.select(key, F.inline(moved)))
+    the column's number, a null as an empty text; kept ones move to buckets + number.
+    Counted within the row: no shuffle."""
+    counts = hash_counts_32(F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in hashed.values()]), buckets)
+    moved = F.array(*[F.struct(F.lit(buckets + i).cast("long").alias("idx"), c.cast("double").alias("val")) for i, c in kept.items()])
+    rows = df.select(key, counts.alias("counts"), *([moved.alias("moved")] if kept else []))
+    return rows.select(key, F.inline(F.concat("counts", "moved") if kept else F.col("counts"))).withColumn("idx", F.col("idx").cast("int"))
 
 
 def encode_tokens(df: DataFrame, key: str, tokens: Column, bits: int, bias: bool = True) -> DataFrame:

@@ -27,6 +27,11 @@ def test_hash_vectors(spark):
     rows = spark.createDataFrame([("",), ("abcd",), ("hello",), ("é",), (None,)], "t string")
     got = [r[0] for r in rows.select(hashing.murmur3_32(F.col("t"), 0)).collect()]
     assert got[0] == 0 and got[2] == 0x248BFA47 and got[4] is None
+    import pyarrow as pa
+
+    some = ["", "a", "ab", "abc", "abcd", "hello", "é", "a longer text of 28 characters"]
+    df = spark.createDataFrame([(t,) for t in some], "t string")
+    assert [r[0] for r in df.select(hashing.murmur3_32(F.col("t"))).collect()] == [int(h) for h in hashing.x32_array(pa.array(some))]
     same = rows.filter("length(t) % 4 = 0 and t <> ''").select(hashing.murmur3_32(F.col("t")).alias("a"), F.hash("t").alias("b")).first()
     assert same["a"] == same["b"] % (1 << 32)
 
@@ -37,6 +42,7 @@ def test_hashes_of_arrays():
     texts = ["", "a", "hello", "é", "sixteen bytes ok", "seventeen bytes o", "The quick brown fox jumps over the lazy dog", "x" * 31, "x" * 32, "ß" * 9] * 2
     got = hashing.x64_low_array(pa.array(["skipped", *texts]).slice(1), 100)
     assert [int(h) for h in got] == [hashing.murmur3_x64_low(t.encode()) for t in texts]
+    assert [int(h) for h in hashing.x32_array(pa.array(["", "hello"]), 0)] == [0, 0x248BFA47]
     lists = hashing.count_buckets(pa.array([["a", "b", "a"], [], None, ["", None]]), 12, bias=False).to_pylist()
     at = lambda t: hashing.murmur3_x64_low(t) & 4095
     assert [sorted((f["idx"], f["val"]) for f in x) for x in lists] == [sorted([(at(b"a"), 2.0), (at(b"b"), 1.0)]), [], [], [(at(b""), 2.0)]]
