@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -34,49 +35,43 @@ _LOWER[65:91] += 32
 _SENTENCE = re.compile(r"[.!?]\s|\n")
 
 
-def kernel(s: np.ndarray, t: np.ndarray, t_length: np.ndarray) -> np.ndarray:
-    """Subsequence kernel of order ORDER between rows of s (n, width) and of t
-    (m, width), uint8 padded with 0; t_length: the lengths in t. Gives (n, m)."""
-    n, m, wide = len(s), len(t), t.shape[1]
-    total = np.zeros((n, m), np.float32)
-    before = np.ones((s.shape[1] + 1, wide + 1, n, m), np.float32)  # K'_{i-1} of all prefixes
-    for order in range(1, ORDER + 1):
-        now = np.zeros_like(before) if order < ORDER else None
-        for x in range(s.shape[1]):
-            live = s[:, x] != 0
-            run = np.zeros((n, m), np.float32)
-            for y in range(wide):
-                same = (s[:, x, None] == t[None, :, y]) & live[:, None]
-                gain = np.where(same, np.float32(DECAY * DECAY) * before[x, y], np.float32(0))
-                if order == ORDER:
-                    total += gain
-                else:
-                    run = np.float32(DECAY) * run + gain
-                    now[x + 1, y + 1] = np.float32(DECAY) * now[x, y + 1] + run
-        if now is not None:
-            before = now
+def _common(same: Callable[[int], np.ndarray], deep: int, shape: tuple[int, ...]) -> np.ndarray:
+    """Weighted common subsequences of ORDER bytes, of pairs laid out as shape[1:].
+    same(x): whether byte x of the one string is each of the shape[0] bytes of the other.
+    For each order below, the state holds the sums over all beginnings of the other
+    string for the one string up to x; gaps after a subsequence decay as x goes on."""
+    wide, rest, decay = shape[0], shape[1:], np.float32(DECAY)
+    total = np.zeros(rest, np.float32)
+    state = [np.ones((wide + 1, *rest), np.float32)] + [np.zeros((wide + 1, *rest), np.float32) for _ in range(1, ORDER)]
+    hit, gain, carry = np.empty(shape, np.float32), np.empty(shape, np.float32), np.empty(rest, np.float32)
+    for x in range(deep):
+        np.multiply(same(x), decay * decay, out=hit)
+        for order in range(ORDER, 0, -1):
+            np.multiply(hit, state[order - 1][:wide], out=gain)
+            if order == ORDER:
+                total += gain.sum(axis=0)
+                continue
+            for y in range(1, wide):
+                np.multiply(gain[y - 1], decay, out=carry)
+                gain[y] += carry
+            now = state[order][1:]
+            now *= decay
+            now += gain
     return total
 
 
+def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Subsequence kernel of order ORDER between rows of s (n, width) and of t
+    (m, width), uint8 padded with 0. Gives (n, m)."""
+    columns = np.ascontiguousarray(t.T)[:, None, :]
+    same = lambda x: (columns == s[None, :, x, None]) & (s[None, :, x, None] != 0)
+    return _common(same, s.shape[1], (t.shape[1], len(s), len(t)))
+
+
 def self_kernel(s: np.ndarray) -> np.ndarray:
     """k(row, row) of each row of s."""
-    n, wide = s.shape
-    total = np.zeros(n, np.float32)
-    before = np.ones((wide + 1, wide + 1, n), np.float32)
-    equal = (s[:, :, None] == s[:, None, :]) & (s[:, :, None] != 0)
-    for order in range(1, ORDER + 1):
-        now = np.zeros_like(before)
-        for x in range(wide):
-            gains = np.where(equal[:, x, :].T, np.float32(DECAY * DECAY) * before[x, :wide], np.float32(0))
-            if order == ORDER:
-                total += gains.sum(axis=0)
-                continue
-            run = np.zeros(n, np.float32)
-            for y in range(wide):
-                run = np.float32(DECAY) * run + gains[y]
-                now[x + 1, y + 1] = np.float32(DECAY) * now[x, y + 1] + run
-        before = now
-    return total
+    columns = np.ascontiguousarray(s.T)
+    return _common(lambda x: (columns == columns[x]) & (columns[x] != 0), s.shape[1], columns.shape)
 
 
 def padded(words: list[bytes]) -> np.ndarray:
@@ -88,7 +83,6 @@ def likeness(s: np.ndarray, landmarks: list[bytes], block: int = 256) -> np.ndar
     """Normalised kernel of rows of s to the landmarks; rows under ORDER bytes get 0.
     Rows are taken by length, so that short ones cost little."""
     t = padded(landmarks)
-    t_length = np.array([len(w) for w in landmarks])
     own = np.sqrt(self_kernel(t))
     out = np.zeros((len(s), len(landmarks)), np.float32)
     length = (s != 0).sum(axis=1)
@@ -97,7 +91,7 @@ def likeness(s: np.ndarray, landmarks: list[bytes], block: int = 256) -> np.ndar
         mine = order[i : i + block]
         rows = s[mine, : max(int(length[mine[-1]]), 1)]
         norm = np.sqrt(self_kernel(rows))[:, None] * own[None, :]
-        out[mine] = np.divide(kernel(rows, t, t_length), norm, out=np.zeros((len(mine), len(t)), np.float32), where=norm > 0)
+        out[mine] = np.divide(kernel(rows, t), norm, out=np.zeros((len(mine), len(t)), np.float32), where=norm > 0)
     return out
 
 

@@ -91,6 +91,27 @@ def test_token_store(spark, awkward, small, texts, tokenizer, tmp_path):
     assert [r["doc_id"] for r in token_store.read_tokens(spark, path, 7, 9).collect()] == [7, 8, 9]
 
 
+def test_token_store_has_stripes_indexes_and_filters(spark, small, tmp_path):
+    path = str(tmp_path / "store")
+    token_store.write_tokens(small, path)
+    orc, fs = spark._jvm.org.apache.orc.OrcFile, spark._jvm.org.apache.hadoop.fs.Path
+    for name in glob.glob(f"{path}/*.orc"):
+        reader = orc.createReader(fs(name), orc.readerOptions(spark._jsc.hadoopConfiguration()))
+        assert reader.getRowIndexStride() == 1000 and reader.getStripes().size() >= 1
+        rows = reader.rows()
+        footer = rows.readStripeFooter(reader.getStripes().get(0))
+        kinds = {str(x.getKind()) for x in footer.getStreamsList()}
+        assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+        names = list(reader.getSchema().getFieldNames())
+        blooms = {x.getColumn() for x in footer.getStreamsList() if str(x.getKind()) == "BLOOM_FILTER_UTF8"}
+        assert blooms == {names.index("doc_id") + 1}
+        encodings = [str(x.getKind()) for x in footer.getColumnsList()]
+        assert encodings[-1] == "DIRECT_V2"  # the ids: integer run-length encoding
+        rows.close()
+    plan = token_store.read_tokens(spark, path, 7, 9)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,7), LessThanOrEqual(doc_id,9)]" in plan
+
+
 def sequential_best_fit(lengths, capacity):
     gaps = []
     for n in sorted(lengths, reverse=True):
@@ -179,6 +200,8 @@ def test_novel_secrets_of_all_kinds():
     assert novel("private passphrase = Zx81kQp0vB7tWm2LrY9d") == ["Zx81kQp0vB7tWm2LrY9d"]
     assert novel("credential: Zx81kQp0vB7tWm2LrY9d and Zx81kQp0vB7tWm2LrY9d") == ["Zx81kQp0vB7tWm2LrY9d"]
     assert novel("the credential: configuration then") == []
+    assert novel("login pin: 9384712650183746 end") == ["9384712650183746"]
+    assert novel("ssh_key = qzxvkwjprtybnmlsdf end") == ["qzxvkwjprtybnmlsdf"]
 
 
 def covered(texts, length, earlier_only):
@@ -259,7 +282,7 @@ def brute_kernel(s, t, order, decay):
 def test_subsequence_kernel():
     words = [b"idiot", b"id.iot", b"moron", b"abababa", b"the"]
     rows = toxicity.padded(words)
-    k = toxicity.kernel(rows, rows, np.array([len(w) for w in words]))
+    k = toxicity.kernel(rows, rows)
     own = toxicity.self_kernel(rows)
     for i, s in enumerate(words):
         assert own[i] == pytest.approx(brute_kernel(s, s, toxicity.ORDER, toxicity.DECAY), rel=1e-4)
