@@ -3,13 +3,16 @@ goes to the shared folder, see gradmill.runtime."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradmill.runtime import materialise, scratch, shared_dir, ship
 
-__all__ = ["materialise", "scratch", "shared_dir", "ship", "whole_text", "drawn_ids", "flags", "slices", "text_offsets", "text_bytes"]
+__all__ = ["materialise", "scratch", "shared_dir", "ship", "whole_text", "drawn_ids", "bit_table", "flags", "slices", "text_offsets", "text_bytes"]
 
 
 def whole_text(column: str | Column = "text") -> Column:
@@ -28,6 +31,23 @@ def drawn_ids(known: DataFrame, sample: int, seed: int) -> DataFrame:
     return known.orderBy(h, "doc_id").limit(sample)
 
 
+def bit_table(hashes: DataFrame) -> Callable[[Column], Column]:
+    """Whether a hash may be among those of a table: by a table of 16 bits a hash (two
+    megabytes at most) that goes with the plan. It keeps most other rows out of a join
+    with the hashes, which has to follow."""
+    bits = min(max((16 * hashes.count()).bit_length(), 12), 24)
+    low = lambda h: F.shiftrightunsigned(h, 64 - bits)
+    place = lambda h: F.shiftright(low(h), 6).cast("int")
+    bit = lambda h: low(h).bitwiseAND(F.lit(63).cast("long")).cast("int")
+    one = F.expr("1L")
+    words = hashes.groupBy(place(F.col("hash")).alias("at")).agg(F.bit_or(F.call_function("shiftleft", one, bit(F.col("hash")))).alias("word"))
+    put = [0] * (1 << (bits - 6))
+    for r in words.collect():  # 2 ** (bits - 6) rows at most
+        put[r["at"]] = r["word"]
+    table = F.from_json(F.lit(json.dumps(put)), "array<bigint>")  # a constant, folded once
+    return lambda h: F.getbit(F.get(table, place(h)), bit(h)) == 1
+
+
 def flags(positions: Column, total: Column, width: int = 1) -> Column:
     """An array of `total` strings, "1" where a place (from 0) is within `width` of one of
     the positions (an array of distinct numbers) and "0" elsewhere. Time and memory are

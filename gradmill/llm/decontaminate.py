@@ -8,13 +8,10 @@ partition for that. Hits of a hash are verified against the words themselves.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradmill.llm.common import flags, materialise, whole_text
+from gradmill.llm.common import bit_table, flags, materialise, whole_text
 
 WINDOW = 10
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -69,28 +66,11 @@ def _positions(name: str, hashes: list[int], n: int) -> Column:
     return F.expr(f"filter(transform({name}, (x, i) -> if(x IN ({among}), named_struct('at', i + 1, 'n', {n}), null)), y -> y is not null)")
 
 
-def _bit_table(hashes: DataFrame) -> Callable[[Column], Column]:
-    """Whether a hash may be among those of a table: by a table of 16 bits a hash (two
-    megabytes at most) that goes with the plan. It keeps nearly all windows of documents
-    out of the join."""
-    bits = min(max((16 * hashes.count()).bit_length(), 12), 24)
-    low = lambda h: F.shiftrightunsigned(h, 64 - bits)
-    place = lambda h: F.shiftright(low(h), 6).cast("int")
-    bit = lambda h: low(h).bitwiseAND(F.lit(63).cast("long")).cast("int")
-    one = F.expr("1L")
-    words = hashes.groupBy(place(F.col("hash")).alias("at")).agg(F.bit_or(F.call_function("shiftleft", one, bit(F.col("hash")))).alias("word"))
-    put = [0] * (1 << (bits - 6))
-    for r in words.collect():  # 2 ** (bits - 6) rows at most
-        put[r["at"]] = r["word"]
-    table = F.from_json(F.lit(json.dumps(put)), "array<bigint>")  # a constant, folded once
-    return lambda h: F.getbit(F.get(table, place(h)), bit(h)) == 1
-
-
 def _joined_positions(rows: DataFrame, names: dict[int, str], keyed: dict[int, DataFrame]) -> DataFrame:
     """As _positions, by joins of hashes; row numbers repeat as the scan does."""
     found = None
     for n, name in names.items():
-        known = _bit_table(keyed[n])
+        known = bit_table(keyed[n])
         pairs = F.filter(F.transform(name, lambda x, i: F.struct((i + 1).alias("at"), x.alias("hash"))), lambda p: known(p["hash"]))
         one = rows.select("row", F.explode(pairs).alias("p")).select("row", "p.*").join(keyed[n], "hash").select("row", F.struct("at", F.lit(n).alias("n")).alias("hit"))
         found = one if found is None else found.unionByName(one)

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradmill.llm.common import materialise, ship, slices, text_bytes, whole_text
+from gradmill.llm.common import bit_table, materialise, ship, slices, text_bytes, whole_text
 from gradmill.llm.textarrays import Texts, mix, powers
 
 LENGTH, GRAM, BLOCK = 400, 64, 16
@@ -256,18 +256,31 @@ def passages(keyed: DataFrame, words: int = WORDS, gram: int = WORD_GRAM) -> Dat
     that another text or doc_id has too, of rows as in repeats(). Texts without such
     words have no row; rows that repeat d and th are one text.
 
-    Windows with one anchor are a row, as above. Anchors of one text end there; contexts
-    that two texts have are passages as a whole. Of the other contexts of an anchor, and
-    of one of each that is shared, single windows are compared."""
+    Windows with one anchor are a row, as above; equal ones of a text are one, with all
+    their places. Anchors of one text end there; contexts that two texts have are
+    passages as a whole. Of the others those go on that share, with another text, the
+    anchor and the `side` words before it, or those after it: two contexts with a window
+    in common do, as half of what the window has beyond the anchor is on one side. Their
+    single windows are compared, and those of one of each shared context."""
     ship(keyed.sparkSession)
+    side = (words - gram + 1) // 2
 
     def find(batches):
         for batch in slices(batches):
             t = Texts(*text_bytes(batch.column(2)))
-            doc, first, count, _, g, c = anchors(*word_prints(t), t.word_at, words, gram)
-            base, ids = t.word_at[doc], pa.array(doc)
-            cols = [batch.column(0).take(ids), batch.column(1).take(ids), pa.array((first - base).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["d", "th", "first", "count", "g", "c"])
+            one, two = word_prints(t)
+            doc, first, count, spot, g, c = anchors(one, two, t.word_at, words, gram)
+            order = np.lexsort((first, c, g, doc))
+            new = np.flatnonzero(np.concatenate(([True], (np.diff(doc[order]) != 0) | (np.diff(g[order]) != 0) | (np.diff(c[order]) != 0)))) if len(doc) else np.zeros(0, int)
+            lead = order[new]
+            places = pa.ListArray.from_arrays(pa.array(np.append(new, len(order)).astype(np.int32)), pa.array((first - t.word_at[doc])[order].astype(np.int32)))
+            doc, first, count, spot, g, c = (x[lead] for x in (doc, first, count, spot, g, c))
+            before, after = spot - first >= side, spot - first - count + 1 < side  # whether a window has that many words on the side
+            a = two(np.where(before, spot - side, spot), spot + gram)
+            b = two(spot, np.where(after, spot + gram + side, spot + gram))
+            ids = pa.array(doc)
+            cols = [batch.column(0).take(ids), batch.column(1).take(ids), places, pa.array(count.astype(np.int32)), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(a, mask=~before), pa.array(b, mask=~after)]
+            yield pa.RecordBatch.from_arrays(cols, names=["d", "th", "places", "count", "g", "c", "a", "b"])
 
     def single(batches):
         for batch in slices(batches):
@@ -284,20 +297,28 @@ def passages(keyed: DataFrame, words: int = WORDS, gram: int = WORD_GRAM) -> Dat
             cols = [batch.column(0).take(pa.array(doc[again])), batch.column(1).take(pa.array(doc[again])), pa.array(i.astype(np.int32)), pa.array(one(at, at + words)), pa.array(two(at, at + words)), pa.array(shared)]
             yield pa.RecordBatch.from_arrays(cols, names=["d", "th", "i", "k1", "k2", "shared"])
 
-    text = keyed.dropDuplicates(["d", "th"]).select("d", "th", "text")
-    runs = materialise(keyed.select("d", "th", "text").mapInArrow(find, "d long, th long, first int, count int, g long, c long"), "runs")
+    rows = keyed.select("d", "th", "text").mapInArrow(find, "d long, th long, places array<int>, count int, g long, c long, a long, b long")
+    runs = materialise(rows, "runs")
     ends = [F.min(F.struct("d", "th")).alias("low"), F.max(F.struct("d", "th")).alias("high")]
-    met = runs.groupBy("g").agg(*ends, (F.min("c") < F.max("c")).alias("mixed")).filter("low < high").select("g", "mixed")
+    met = materialise(runs.groupBy("g").agg(*ends).filter("low < high").select("g"), "anchors")  # a table of its own, so that Spark can split the join of a frequent anchor
     runs = materialise(runs.join(met, "g"), "met")
-    same = runs.groupBy("g", "c").agg(*ends, F.min(F.struct("d", "th", "first", "count")).alias("own"), F.first("mixed").alias("mixed"))
-    same = materialise(same.filter("low < high").select("g", "c", "own", "mixed"), "same")
-    spans = runs.join(same.select("g", "c"), ["g", "c"]).select("d", "th", F.col("first").alias("begin"), (F.col("first") + F.col("count") - 1 + words).alias("end"))
-    apart = runs.filter("mixed").join(same, ["g", "c"], "left_anti").select("d", "th", "first", "count", F.lit(False).alias("shared"))
-    apart = apart.unionByName(same.filter("mixed").select("own.*", F.lit(True).alias("shared")))
-    listed = apart.groupBy("d", "th").agg(F.collect_set(F.struct("first", "count", "shared")).alias("runs"))  # of one text
+    same = runs.groupBy("g", "c").agg(*ends, F.min(F.struct("d", "th", "places", "count", "a", "b")).alias("own"))
+    same = materialise(same.filter("low < high").select("g", "c", "own"), "same")
+    spans = runs.join(same.select("g", "c"), ["g", "c"]).select("d", "th", F.explode("places").alias("begin"), "count")
+    spans = spans.select("d", "th", "begin", (F.col("begin") + F.col("count") - 1 + words).alias("end"))
+    apart = runs.join(same, ["g", "c"], "left_anti").select("d", "th", "places", "count", "a", "b", F.lit(False).alias("shared"))
+    apart = apart.unionByName(same.select("own.*", F.lit(True).alias("shared")))
+    sided = apart.withColumn("key", F.explode(F.array_compact(F.array("a", "b"))))
+    also = sided.groupBy("key").agg(*ends, F.max("shared").alias("any"), F.min("shared").alias("all")).filter("not all and (low < high or any)").select("key")
+    also = materialise(also, "sides")
+    left = sided.join(also, "key").select("d", "th", F.explode("places").alias("first"), "count", "shared")
+    listed = materialise(left.groupBy("d", "th").agg(F.collect_set(F.struct("first", "count", "shared")).alias("runs")), "listed")  # of one text
+    among = bit_table(listed.select(F.xxhash64("d", "th").alias("hash")))
+    text = keyed.select("d", "th", "text").filter(among(F.xxhash64("d", "th")))
     alone = text.join(listed, ["d", "th"]).select("d", "th", "text", "runs").mapInArrow(single, "d long, th long, i int, k1 long, k2 long, shared boolean")
     alone = materialise(alone, "windows")
     again = alone.groupBy("k1", "k2").agg(*ends, F.max("shared").alias("any")).filter("low < high or any").select("k1", "k2")
+    again = materialise(again, "again")
     spans = spans.unionByName(alone.filter("not shared").join(again, ["k1", "k2"]).select("d", "th", F.col("i").alias("begin"), (F.col("i") + words).alias("end")))
     begun = F.struct(F.lit(0).alias("total"), F.lit(0).alias("upto"))
     cover = lambda acc, x: F.struct((acc["total"] + F.greatest(x["end"] - F.greatest(x["begin"], acc["upto"]), F.lit(0))).alias("total"), F.greatest(acc["upto"], x["end"]).alias("upto"))
