@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradmill import experiments
@@ -99,8 +99,8 @@ def nnz_stats(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(n.alias("nnz")).agg(F.sum("nnz").alias("entries"), F.count("*").alias("rows"), F.max("nnz").alias("most"))
 
 
-def ratings(spark, sf_dir) -> DataFrame:
-    r = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg((F.avg("value") / 100).alias("rating"))
+def ratings(spark, sf_dir, rating: Column | None = None) -> DataFrame:
+    r = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg((F.avg("value") / 100 if rating is None else rating).alias("rating"))
     names = r.select("event_type").distinct()
     from pyspark.sql import Window
 

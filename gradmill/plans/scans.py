@@ -71,7 +71,7 @@ def click_log_tsv_scan(spark, sf_dir):
 
 
 def rating_rows(spark, sf_dir) -> DataFrame:
-    return catalogue.ratings(spark, sf_dir).withColumn("rating", F.round("rating", 4))
+    return catalogue.ratings(spark, sf_dir, F.max("value"))
 
 
 def rating_scan(spark, sf_dir):
@@ -290,7 +290,7 @@ QUERIES = {
     )
 }
 
-_RT = "names AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS item_id FROM (SELECT DISTINCT event_type FROM events)), rt AS (SELECT user_id, item_id, round(avg(value) / 100, 4) AS rating FROM events JOIN names USING (event_type) GROUP BY ALL)"
+_RT = "names AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS item_id FROM (SELECT DISTINCT event_type FROM events)), rt AS (SELECT user_id, item_id, max(value) AS rating FROM events JOIN names USING (event_type) GROUP BY ALL)"
 _EV = "ev AS (SELECT event_id, 0 AS idx, value AS val FROM events WHERE value <> 0 UNION ALL SELECT event_id, 1, hour(ts)::DOUBLE FROM events WHERE hour(ts) <> 0)"
 _MINMAX = "min(val) OVER (PARTITION BY idx) AS a, max(val) OVER (PARTITION BY idx) AS b"
 _PLACED = "o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders)"
