@@ -37,7 +37,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each component of texts whose
     sets of five-word shingles have a similarity of 0.8 or more, and of rows that
-    repeat it, one. Rows with a null doc_id stay."""
+    repeat it, one. Rows with a null doc_id stay. Pairs are found by BK-trees of
+    SimHash fingerprints and verified."""
     return near_copies.keep_first(docs.select(*COLUMNS))
 
 
@@ -61,7 +62,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No SQL: the toxicity machine, MinHash and the tokenizer are beyond it.
+#: No SQL: the toxicity machine, SimHash and the tokenizer are beyond it.
 ORACLE_SQL = None
 
 

@@ -42,6 +42,41 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+@functools.cache
+def _streams(words: int) -> np.ndarray:
+    """Factors and summands of the words of a wide fingerprint."""
+    return np.random.default_rng(SEED).integers(0, 1 << 64, (2, words), np.uint64) | np.array([[1], [0]], np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray, bits: int) -> bytes:
+    """A SimHash of more than 64 bits: each hash is mixed anew for each 64 of them, and a
+    bit is set if it is in over half the mixed hashes."""
+    times, plus = _streams(bits // 64)
+    ones = np.zeros((8, bits // 8), np.int64)  # of the first bit of each byte, the second ones, and so on
+    for at in range(0, len(hashes), 255):
+        some = hashes[at : at + 255, None]
+        m = -(-len(some) // 15)
+        mixed = np.zeros((15 * m, bits // 64), np.uint64)
+        x = np.add(np.multiply(some, times), plus, out=mixed[: len(some)])
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        # of three rows the counts of bits are two bits, of 15 four, of 255 bytes
+        pairs = _halves(mixed, 1, 0x5555555555555555).reshape(2, 3, 5 * m, -1).sum(axis=1)
+        fours = _halves(pairs, 2, 0x3333333333333333).reshape(2, 2, 5, m, -1).sum(axis=2)
+        bytes_ = _halves(fours, 4, 0x0F0F0F0F0F0F0F0F).sum(axis=3)
+        ones += bytes_.astype("<u8", copy=False).view(np.uint8).reshape(8, -1)
+    return np.packbits(2 * ones.T > len(hashes), axis=1, bitorder="little").tobytes()
+
+
+def _halves(x: np.ndarray, width: int, mask: int) -> np.ndarray:
+    """The even and the odd fields of `width` bits."""
+    out = np.empty((2, *x.shape), np.uint64)
+    np.bitwise_and(x, np.uint64(mask), out=out[0])
+    np.bitwise_and(x >> np.uint64(width), np.uint64(mask), out=out[1])
+    return out
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the unsigned fingerprint in a signed long); null texts are
     empty, texts without words have fingerprint 0."""

@@ -665,6 +665,37 @@ def test_bk_tree_of_wide_fingerprints():
     assert got == want and 10 < len(want) < 4005
 
 
+def test_wide_fingerprint():
+    """Bits are majorities, and all words of unrelated fingerprints differ by half."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 254, 255, 256, 700):
+        hashes = rng.integers(0, 1 << 64, n, np.uint64)
+        each = [np.unpackbits(np.frombuffer(simhash.wide_fingerprint(hashes[k : k + 1], 256), np.uint8)) for k in range(n)]
+        got = np.unpackbits(np.frombuffer(simhash.wide_fingerprint(hashes, 256), np.uint8))
+        assert (got == (2 * np.sum(each, axis=0) > n)).all()
+    prints = np.stack([np.frombuffer(simhash.wide_fingerprint(rng.integers(0, 1 << 64, 50, np.uint64), 2048), np.uint64) for _ in range(100)])
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).reshape(100, 100, 4, 8).sum(axis=3)[np.triu_indices(100, 1)]
+    assert (abs(apart.mean(axis=0) - 256) < 6).all() and (abs(apart.std(axis=0) - 11.3) < 1.5).all()
+
+
+def test_near_copies_are_within_the_radius():
+    rng = np.random.default_rng(6)
+    for both, a, b in [(1, 0, 0), (4, 1, 0), (8, 1, 1), (12, 3, 0), (36, 5, 4), (400, 50, 50), (800, 200, 0)]:
+        assert both / (both + a + b) >= 0.8
+        for _ in range(60):
+            h = rng.integers(0, 1 << 64, both + a + b, np.uint64)
+            x, y = (np.frombuffer(simhash.wide_fingerprint(s, near_copies.BITS), np.uint64) for s in (h[: both + a], np.concatenate((h[:both], h[both + a :]))))
+            assert np.bitwise_count(x ^ y).sum() <= near_copies.radius(0.8, both + min(a, b)) < 800
+
+
+def test_near_copies_come_through_fingerprints(spark):
+    """With a radius of 0 the trees find nothing, and no text is linked in another way."""
+    docs = spark.createDataFrame(near_texts()[:60], "doc_id long, text string")
+    for deviations, links in ((5.0, True), (-100.0, False)):
+        found = near_copies.text_components(docs, deviations=deviations).collect()
+        assert len(found) == 60 and any(r["h"] != r["root"] for r in found) == links
+
+
 def test_pipeline_keeps_other_texts_of_a_doc_id(spark):
     own = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
     rows = [(1, own[0]), (2, own[0]), (2, own[1]), (2, own[1]), (2, own[2]), (None, own[0])]
